@@ -16,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrow import columns, no_clash, quoted, spec
 from .codepoints import DIGIT, EDGE, LOWER, MARK, OTHER, SPACE, UNCASED, UPPER, Block, blocks, class_table, lower_table
 from .transducer import Transducer
 
@@ -305,25 +306,36 @@ def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def split_sentences(df: DataFrame, text: str = "text", prefix: str = "") -> DataFrame:
+def sentence_arrays(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with the text replaced by the starts and ends of its sentences (two arrays of int), one row per row."""
+    no_clash(df, ["starts", "ends"])
+    others = [c for c in df.columns if c != text]
+    kept = df.select(*columns(others))
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, _, start, end = spans(batch.column(len(others)))
+            offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
+            arrays = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (start, end)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*others, "starts", "ends"])
+
+    return df.select(*columns(others), F.col(quoted(text)).cast("string")).mapInArrow(split, spec(kept, "starts array<int>, ends array<int>"))
+
+
+def split_sentences(df: DataFrame, text: str = "text", keys: list[str] | None = None, prefix: str = "") -> DataFrame:
     """One row per sentence: the other columns of df, then sent_no (from 1), start_char and end_char (code points, end exclusive).
 
     White space and list markers around a unit are left out. Headings, list items and blank lines end
-    a unit; quotations and bracketed remarks stay in theirs. Null, empty and blank texts give no rows;
-    repeated rows are kept and split each. Texts of any length are taken whole. If df already has one
-    of the three new columns, give a prefix for the new ones, else a ValueError is raised.
+    a unit; quotations and bracketed remarks stay in theirs. Null, empty and blank texts give no rows.
+    Texts of any length are taken whole. With keys, rows that agree in them are one record, told apart by
+    the places of their sentences only, so that no text is moved; without, repeated rows are split each. If
+    df already has one of the three new columns, give a prefix for the new ones, else a ValueError is raised.
     """
     names = [prefix + x for x in ("sent_no", "start_char", "end_char")]
+    no_clash(df, names)
     others = [c for c in df.columns if c != text]
-    if clash := set(names) & set(others):
-        raise ValueError(f"columns {sorted(clash)} exist; give a prefix")
-    schema = df.select(*[F.col(f"`{c}`") for c in others])
-    spec = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.schema), f"`{names[0]}` int, `{names[1]}` int, `{names[2]}` int"])
-
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            row, number, start, end = spans(batch.column(len(others)))
-            take = pa.array(row)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i).take(take) for i in range(len(others))), *(pa.array(x.astype(np.int32)) for x in (number, start, end))], [*others, *names])
-
-    return df.select(*[F.col(f"`{c}`") for c in others], F.col(f"`{text}`").cast("string")).mapInArrow(split, spec)
+    found = sentence_arrays(df, text)
+    if keys:
+        found = found.dropDuplicates(keys)
+    rows = found.select(*columns(others), F.posexplode(F.arrays_zip("starts", "ends")).alias("_no", "_at"))
+    return rows.select(*columns(others), (F.col("_no") + 1).cast("int").alias(names[0]), F.col("_at.starts").alias(names[1]), F.col("_at.ends").alias(names[2]))
