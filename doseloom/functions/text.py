@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 WORD = r"[a-z0-9]+(?:[.'][a-z0-9]+)*"
 #: Words that take back what a sentence says.
 NEGATIONS = ("not", "no", "without", "never", "neither", "none", "nor", "cannot", "free of", "absence of", "ruled out", "rather than")
+#: Pattern of any of them as a whole word, alike in Java and RE2.
+NEGATED = "(?i)(^|[^A-Za-z0-9_])(" + "|".join(NEGATIONS) + ")($|[^A-Za-z0-9_])"
 #: Abbreviations after which the plain splitter does not cut.
 PROTECTED = ("e.g.", "i.e.", "vs.", "approx.", "Dr.", "No.", "Fig.", "cf.", "etc.", "al.")
 
@@ -34,7 +36,7 @@ def plain_sentences(text: Column) -> Column:
 
 def negated(sentence: Column) -> Column:
     """Whether any negation stands anywhere in a sentence."""
-    return sentence.rlike(r"(?i)\b(" + "|".join(NEGATIONS) + r")\b")
+    return sentence.rlike(NEGATED)
 
 
 def whole_word(text: Column, word: Column) -> Column:

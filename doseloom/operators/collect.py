@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import collapse
+
 
 def stage_counts(df: DataFrame, stages: list[tuple[str, Column]]) -> DataFrame:
     """Rows that fail at each stage and rows that remain after it: stage, ord, failed, remaining.
@@ -37,7 +39,11 @@ def name_table(df: DataFrame, kinds: dict[str, str], sets: Column) -> DataFrame:
 
     kinds maps a kind to the array column that holds its names; empty and null names are left out.
     """
-    names = F.flatten(F.array(*[F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")), lambda x, k=k: F.struct(F.lit(k).alias("kind"), F.lower(F.trim(F.regexp_replace(x, r"\s+", " "))).alias("name_key"))) for k, c in kinds.items()]))
+
+    def of_kind(kind: str, names: Column) -> Column:
+        return F.transform(names, lambda x: F.struct(F.lit(kind).alias("kind"), F.lower(collapse(x)).alias("name_key")))
+
+    names = F.flatten(F.array(*[of_kind(k, F.coalesce(F.col(c), F.array().cast("array<string>"))) for k, c in kinds.items()]))
     rows = df.select(sets.alias("set_key"), F.inline(names)).where("name_key <> ''")
     return rows.groupBy("name_key").agg(F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"), F.countDistinct("set_key").alias("n_sets"), F.count("*").alias("n_rows"))
 
