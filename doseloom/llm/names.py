@@ -124,6 +124,7 @@ class Index:
                 at.append(i)
                 w.append(c * self.idf[g] / norm[i])
         self.lists = {g: (np.array(a), np.array(w)) for g, (a, w) in lists.items()}
+        self.known: dict[str, tuple[int, float, float]] = {}
 
     def best(self, name: str, top: int = CANDIDATES) -> list[tuple[float, int]]:
         """Highest cosines and their entries."""
@@ -167,8 +168,9 @@ class Index:
         return i, score, lead
 
 
-def _lookup(index: Index, texts: list, cache: dict[str, tuple[int, float, float]]) -> list[tuple[int, float, float]]:
-    """Result of each text; each distinct normalised name is scored once."""
+def _lookup(index: Index, texts: list) -> list[tuple[int, float, float]]:
+    """Result of each text; each distinct normalised name is scored once in a worker, as long as it is kept."""
+    cache = index.known
     out = []
     seen: dict[str, tuple[int, float, float]] = {}
     for t in texts:
@@ -211,12 +213,11 @@ def map_names(df: DataFrame, column: str, entries: DataFrame, entry_id: str = "n
         sent = spark.sparkContext.broadcast(Index(block.column(0).to_pylist(), block.column(1).to_pylist()))
 
         def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            cache: dict[str, tuple[int, float, float]] = {}
             for batch in batches:
                 index = sent.value
                 old = zip(*(batch.column(n + i).to_pylist() for i in range(3)))
                 found = []
-                for (i, score, lead), before in zip(_lookup(index, batch.column(at).cast(pa.string()).to_pylist(), cache), old):
+                for (i, score, lead), before in zip(_lookup(index, batch.column(at).cast(pa.string()).to_pylist()), old):
                     better = i >= 0 and (before[0] == -1 or score > before[1])
                     found.append((index.ids[i], score, lead) if better else before if before[0] != -1 else (-1, max(score, before[1]), 0.0))
                 yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([x[0] for x in found], id_type), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())], [*names, *new])
