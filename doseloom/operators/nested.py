@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import columns, no_clash, spec
 
-#: Wrappings that a block may stand in: its own name, JSON within a string, a list of named values.
+#: What stands for a block that can't be read.
 _UNREADABLE = object()
 
 

@@ -7,6 +7,7 @@ import difflib
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 #: Least likeness that is accepted, lead under which another entry makes it doubtful, candidates that are reported.
 ACCEPT, DOUBT, TOP = 0.85, 0.03, 5
@@ -17,7 +18,7 @@ def normal(name):
     return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching letters, also with only as many leading words of the second as the first has; the larger counts."""
 
