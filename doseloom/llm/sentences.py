@@ -41,7 +41,7 @@ BULLETS = "-*•–·▪‣◦●○■□"
 LOOK = 12
 
 # symbols
-(NOTHING, TERM, QUOTE, QUOTE_END, CURLY, CURLY_END, CURLY_CLOSE, CURLY_CLOSE_END, LOW, ANGLE, ANGLE_CLOSE, ANGLE_CLOSE_END, CORNER, CORNER_CLOSE, CORNER_CLOSE_END, PAREN, PAREN_CLOSE, PAREN_CLOSE_END, BREAK, ITEM, START, START_ITEM) = range(22)
+(NOTHING, TERM, QUOTE, QUOTE_END, CURLY, CURLY_END, CURLY_CLOSE, CURLY_CLOSE_END, LOW, ANGLE, ANGLE_CLOSE, ANGLE_CLOSE_END, CORNER, CORNER_CLOSE, CORNER_CLOSE_END, PAREN, PAREN_CLOSE, PAREN_CLOSE_END, BREAK, ITEM, START, START_ITEM, NEXT_ITEM) = range(23)
 _QUOTES, _DEPTHS = 6, 3
 
 
@@ -49,15 +49,17 @@ _QUOTES, _DEPTHS = 6, 3
 def transducer() -> Transducer:
     """States: list item or not x open quote (none, straight, curly, low, angle, corner) x depth of brackets up to 2."""
     states = 2 * _QUOTES * _DEPTHS
-    step, out = np.zeros((22, states), np.uint8), np.zeros((22, states), bool)
+    step, out = np.zeros((23, states), np.uint8), np.zeros((23, states), bool)
     toggles = {QUOTE: {0: 1, 1: 0}, CURLY: {0: 2, 3: 0}, CURLY_CLOSE: {2: 0, 3: 0}, LOW: {0: 3}, ANGLE: {0: 4}, ANGLE_CLOSE: {4: 0}, CORNER: {0: 5}, CORNER_CLOSE: {5: 0}}
     ends = {QUOTE_END: QUOTE, CURLY_END: CURLY, CURLY_CLOSE_END: CURLY_CLOSE, ANGLE_CLOSE_END: ANGLE_CLOSE, CORNER_CLOSE_END: CORNER_CLOSE, PAREN_CLOSE_END: PAREN_CLOSE}
     for state in range(states):
         item, rest = divmod(state, _QUOTES * _DEPTHS)
         quote, depth = divmod(rest, _DEPTHS)
-        for symbol in range(22):
+        for symbol in range(23):
             q, d, i = quote, depth, item
             base = ends.get(symbol, symbol)
+            if base == NEXT_ITEM:  # a mark after a line that does not end is one within a list only
+                base = ITEM if item else NOTHING
             if base in toggles:
                 q = toggles[base].get(quote, quote)
             elif base == PAREN:
@@ -175,7 +177,8 @@ def bounds(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         item, content = _item(b, stop, cp, space, ahead)
         item &= count >= 1
         symbol[ws[count >= 2]] = BREAK
-        symbol[ws[item]] = ITEM
+        ended = (mark[ws - 1] > 0) | _is(":;")[cp[ws - 1]] | (count >= 2)
+        symbol[ws[item]] = np.where(ended, ITEM, NEXT_ITEM)[item]
         next_start[ws[item]] = content[item]
         thai = lambda i: (cp[i] >= 0xE00) & (cp[i] < 0xE80) & ((kind[i] == UNCASED) | (kind[i] == MARK))
         symbol[ws[thai(ws - 1) & thai(b) & (count < 2) & ~item]] = TERM
@@ -191,7 +194,7 @@ def bounds(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     keys = np.concatenate((heads * 2, events * 2 + 1))
     order = np.argsort(keys, kind="stable")
     stream = np.concatenate((np.where(head_item, START_ITEM, START), symbol[events]))[order]
-    left = np.concatenate((heads, np.where(np.isin(symbol[events], (BREAK, ITEM)), events, events + 1)))[order]
+    left = np.concatenate((heads, np.where(np.isin(symbol[events], (BREAK, ITEM, NEXT_ITEM)), events, events + 1)))[order]
     resume = np.concatenate((np.where(head_item, head_content, heads), np.where(next_start[events] >= 0, next_start[events], np.where(symbol[events] == BREAK, events, events + 1))))[order]
     del gap
     put = transducer().run(stream)

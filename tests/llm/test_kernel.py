@@ -23,7 +23,7 @@ def test_tokens_of_a_second_tokenizer_and_nulls():
     assert counter("byte_bpe_50k").totals(pa.array([None, "", "don't stop"], pa.string())).tolist() == [0, 0, len(encoding("byte_bpe_50k").encode_ordinary("don't stop"))]
 
 
-@given(st.lists(st.integers(0, 21), max_size=300))
+@given(st.lists(st.integers(0, 22), max_size=300))
 @settings(max_examples=100, deadline=None)
 def test_parallel_scan_equals_one_by_one(symbols):
     t = transducer()
@@ -86,6 +86,8 @@ def test_sentences(text, count):
 
 def test_list_marks_are_left_out():
     assert sentences("- one\n* two three") == ["one", "two three"]
+    assert sentences("It ends.\n- one\n- two") == ["It ends.", "one", "two"]
+    assert sentences("Broken by a dash\n- like this. Yes.") == ["Broken by a dash\n- like this.", "Yes."]
 
 
 def test_pieces_of_hard_texts():
