@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .functions import entries
 from .functions import text as T
-from .operators import collect, evaluation, lists, resolve, search, tagging
+from .operators import collect, evaluation, lists, markup, relations, resolve, search, tagging
+from .streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -483,3 +485,107 @@ def run_diff_outer_join(spark, folder):
     side = lambda c, n: rows.where(c).groupBy("ingredient").agg(F.countDistinct("amount_id").alias(n))
     both = side(F.col("recorded_at") < cut, "a").join(side(F.col("recorded_at") >= cut, "b"), "ingredient", "full")
     return both.select("ingredient", (F.coalesce("b", F.lit(0)) - F.coalesce("a", F.lit(0))).alias("delta")).where("delta <> 0")
+
+
+# entries and relations
+
+
+def _like(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_PARSED = f"""
+with m as (select distinct med_id, as_entered as t from medication_row),
+p as (select *, regexp_replace(t, '{_like(entries.TOTAL)}', ' ') as q from m),
+x as (select *, nullif(regexp_extract(q, '{_like(entries.COMBINED)}', 1), '') as c1, nullif(regexp_extract(q, '{_like(entries.COMBINED)}', 2), '') as c2, coalesce({', '.join(f"case when regexp_matches(q, '{_like(a)}') then {n!r}::double end" for a, n in entries.FREQUENCIES)}) as per_day,
+  try_cast(replace(regexp_extract(t, '{_like(entries.TOTAL)}', 1), ',', '') as double) as stated_total from p),
+s as (select *, case when c1 is null then try_cast(replace(nullif(regexp_extract(q, '{_like(entries.STRENGTH)}', 1), ''), ',', '') as double) end as strength from x)
+select med_id, strength, coalesce(nullif(regexp_extract(q, '{_like(entries.COMBINED)}', 3), ''), nullif(regexp_extract(q, '{_like(entries.STRENGTH)}', 2), '')) as unit,
+  c1 || '/' || c2 as strengths, per_day, stated_total, coalesce(strength * per_day, stated_total) as total,
+  nullif(regexp_extract(q, '{_like(entries.BRANDED)}', 1), '') as brand, nullif(regexp_extract(q, '{_like(entries.BRANDED)}', 2), '') as generic,
+  regexp_matches(q, '(?i)\\b(as needed|if needed|prn)\\b|(?i)p\\.r\\.n\\.') as as_needed from s"""
+
+
+@query(_PARSED)
+def entry_parse(spark, folder):
+    rows = read(spark, folder, "medication_row").select("med_id", "as_entered").distinct()
+    return rows.select("med_id", entries.parse_entry(F.col("as_entered")).alias("p")).select("med_id", "p.*")
+
+
+@query(f"with m as (select distinct med_id, list_id, lower(matched_name) as name from medication_row where matched_name is not null), w as (select distinct list_id, med_id as a, unnest({_WORDS.replace('text', 'as_entered')}) as word from medication_row) select distinct w.list_id, a, med_id as b from w join m on m.list_id = w.list_id and m.name = word where a <> med_id")
+def mentioned_pairs(spark, folder):
+    rows = read(spark, folder, "medication_row").dropDuplicates(["med_id"])
+    return relations.mentioned_pairs(rows.where("matched_name is not null"), rows, "list_id", "med_id", "matched_name", "as_entered")
+
+
+_LINKS = [("Brand#11", "Brand#22"), ("Brand#33", "Brand#44")]
+
+
+@query(f"with {_LISTS}, links(one, other) as (values ('brand#11', 'brand#22'), ('brand#33', 'brand#44'), ('brand#22', 'brand#11'), ('brand#44', 'brand#33')) select distinct x.list_id, x.entry as a, y.entry as b from e x join links on lower(x.brand) = one join e y on y.list_id = x.list_id and lower(y.brand) = other where x.entry < y.entry")
+def linked_pairs(spark, folder):
+    links = spark.createDataFrame([(a.lower(), b.lower()) for a, b in _LINKS], "one string, other string")
+    return relations.linked_pairs(_entries(spark, folder), links, "list_id", "entry", "brand")
+
+
+_FINDINGS = f"{_LISTS}, {_RULE_SQL}, small as (select list_id, rule || ':' || a || ':' || b as pair_id, unnest([a, b]) as member from hit), large as (select distinct list_id, type as group_id, entry as member from e)"
+
+
+@query(f"with {_FINDINGS}, size as (select list_id, pair_id, count(distinct member) as n from small group by all), met as (select s.list_id, pair_id, group_id, count(distinct s.member) as m from small s join large l on l.list_id = s.list_id and l.member = s.member group by all) select list_id, pair_id, min(group_id) as group_id from met join size using (list_id, pair_id) where m = n group by all")
+def absorb_pairs(spark, folder):
+    pairs = _pairs(spark, folder).select("list_id", F.concat_ws(":", "rule", "a", "b").alias("pair_id"), F.explode(F.array("a", "b")).alias("member"))
+    groups = _entries(spark, folder).select("list_id", F.col("type").alias("group_id"), F.col("entry").alias("member"))
+    return relations.first_home(pairs, groups, ["list_id"], "pair_id", "group_id", "member", F.col("group_id"))
+
+
+@query(f"with {_LISTS} select distinct x.list_id from e x join e y on x.list_id = y.list_id where x.brand in ('Brand#11', 'Brand#12') and y.brand in ('Brand#12', 'Brand#13') and x.entry <> y.entry")
+def distinct_sides(spark, folder):
+    e = _entries(spark, folder)
+    return relations.distinct_sides(e.where("brand in ('Brand#11', 'Brand#12')"), e.where("brand in ('Brand#12', 'Brand#13')"), ["list_id"], "entry")
+
+
+@query("with e as (select distinct evidence_id, label_id, set_id, term_id, sentence from tag_evidence), own as (select label_id, term_id, min(sentence) as s from e where sentence is not null group by all), sets as (select set_id, term_id, min(sentence) as s from e where sentence is not null and set_id is not null group by all) select k.label_id, k.set_id, k.term_id, coalesce(own.s, sets.s) as sentence from (select distinct label_id, set_id, term_id from e) k left join own on own.label_id = k.label_id and own.term_id = k.term_id left join sets on sets.set_id = k.set_id and sets.term_id = k.term_id")
+def evidence_fallback(spark, folder):
+    e = read(spark, folder, "tag_evidence").dropDuplicates(["evidence_id"])
+    best = lambda key: e.where(f"sentence is not null and {key} is not null").groupBy(key, "term_id").agg(F.min("sentence").alias("sentence"))
+    keys = e.select("label_id", "set_id", "term_id").distinct()
+    return relations.first_of(keys, [(best("label_id"), ["label_id", "term_id"]), (best("set_id"), ["set_id", "term_id"])], "sentence")
+
+
+@query(f"with {_EVIDENCE}, s as (select label_id, evidence_id, unnest({_PLAIN}) as s, generate_subscripts({_PLAIN}, 1) as n from evidence where field_name = 'indications_and_usage' and sentence is not null), k as (select *, row_number() over (partition by label_id order by evidence_id, n) as r from (select label_id, s, min(evidence_id) as evidence_id, arg_min(n, row(evidence_id, n)) as n from s where length(s) between 20 and 420 group by label_id, s)) select label_id, r as place, s as sentence from k where r <= 3")
+def profile_sentences(spark, folder):
+    e = read(spark, folder, "tag_evidence").where("field_name = 'indications_and_usage'").dropDuplicates(["evidence_id"])
+    s = e.select("label_id", "evidence_id", F.posexplode(T.plain_sentences(F.col("sentence"))).alias("n", "s")).where(F.length("s").between(20, 420))
+    first = s.groupBy("label_id", "s").agg(F.min(F.struct("evidence_id", "n")).alias("at"))
+    ranked = first.withColumn("place", F.row_number().over(Window.partitionBy("label_id").orderBy("at")))
+    return ranked.where("place <= 3").select("label_id", "place", F.col("s").alias("sentence"))
+
+
+@query("with t as (select field_name, count(distinct evidence_id) as n from tag_evidence group by field_name), f(field_name, grade) as (values ('contraindications', 'A'), ('boxed_warning', 'B'), ('warnings', 'C'), ('precautions', 'D')) select f.field_name, grade, coalesce(n, 0) as n from f left join t using (field_name)")
+def grade_histogram(spark, folder):
+    grades = spark.createDataFrame([("contraindications", "A"), ("boxed_warning", "B"), ("warnings", "C"), ("precautions", "D")], "field_name string, grade string")
+    seen = read(spark, folder, "tag_evidence").groupBy("field_name").agg(F.countDistinct("evidence_id").alias("n"))
+    return grades.join(seen, "field_name", "left").na.fill(0, ["n"])
+
+
+@query()
+def html_table_cells(spark, folder):
+    rows = read(spark, folder, "raw_label").dropDuplicates(["rec_id"]).select("rec_id", F.explode(F.regexp_extract_all("text_fields", F.lit(r"<table>.*?</table>"), F.lit(0))).alias("html"))
+    return markup.html_cells(rows, "html")
+
+
+@query(r"with s as (select unnest(ingredient_set) as n from label_summary union all select unnest(generic_names) from label_summary union all select display from name_dictionary), c as (select lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(n, '\s*\[[A-Za-z]+\]\s*$', ''), '\s*\(\s*\w?(\s*,\s*\w?)*\s*\)', '', 'g'), '[0-9^*]', '', 'g'), '[\s\x{a0}]+', ' ', 'g'))) as name from s) select distinct name from c where length(name) >= 3")
+def gazetteer(spark, folder):
+    labels, names = read(spark, folder, "label_summary"), read(spark, folder, "name_dictionary")
+    return markup.known_names(labels.select(F.explode("ingredient_set").alias("n")), labels.select(F.explode("generic_names").alias("n")), names.select("display"))
+
+
+@query("select time_bucket(interval 1 hour, ts) as start, event_type, count(*) as n from events group by all")
+def event_windows(spark, folder):
+    return incremental.windowed_counts(read(spark, folder, "events"), "ts", "1 day", "1 hour", "event_type")
+
+
+@query("select user_id, event_type, arg_max(event_id, row(ts, event_id)) as event_id, count(*) as n from events group by all")
+def newest_event(spark, folder):
+    events = read(spark, folder, "events").select("user_id", "event_type", "ts", "event_id")
+    newest = collect.newest_per_key(events, ["user_id", "event_type"], ["ts", "event_id"])
+    return newest.join(events.groupBy("user_id", "event_type").agg(F.count("*").alias("n")), ["user_id", "event_type"]).select("user_id", "event_type", "event_id", "n")

@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from doseloom.functions import text as T
-from doseloom.operators import collect, evaluation, lists, resolve, search, tagging
+from doseloom.functions import entries
+from doseloom.operators import collect, evaluation, lists, markup, relations, resolve, search, tagging
 from doseloom.sources import files, sinks
 from doseloom.streaming import incremental
 
@@ -100,6 +101,37 @@ def test_fuzzy_names(spark):
     assert got["trazdone"] == ("matched", "trazodone") and got["trazodone"] == ("matched", "trazodone") and got["qqq"] == ("unresolved", None) and got["abcdefgh"][0] == "needs_confirmation"
 
 
+def test_html_tables(spark):
+    html = "<p>x</p><table><tr><th>a &amp; b<th> c<br>d</tr><tr><td>1</td><td></td></tr></table><TABLE><td>9"
+    assert markup.cells_of(html) == [(1, 1, 1, "a & b"), (1, 1, 2, "c d"), (1, 2, 1, "1"), (1, 2, 2, ""), (2, 1, 1, "9")]
+    df = spark.createDataFrame([(1, html), (2, None), (3, "plain")], "id int, h string")
+    assert markup.html_cells(df, "h").count() == 5 and markup.html_cells(df.limit(0), "h").count() == 0
+    with pytest.raises(ValueError):
+        markup.html_cells(df.withColumnRenamed("id", "cell"), "h")
+
+
+def test_entries(spark):
+    df = spark.createDataFrame([("Brandy (generol) 2,500 mg bid = 5,000 mg/day",), ("abcde 50/12.5 mg tid as needed",), ("",), (None,)], "t string")
+    a, b, c, d = (r.p for r in df.select(entries.parse_entry(F.col("t")).alias("p")).collect())
+    assert (a.strength, a.unit, a.per_day, a.stated_total, a.total, a.brand, a.generic, a.as_needed) == (2500, "mg", 2, 5000, 5000, "Brandy", "generol", False)
+    assert (b.strength, b.strengths, b.per_day, b.as_needed) == (None, "50/12.5", 3, True) and c.total is None and d.unit is None
+    n = spark.createDataFrame([("70",), ("-1",), ("x",), (None,)], "v string")
+    assert [r.v for r in n.select(entries.request_limit(F.col("v")).alias("v")).collect()] == [50, 1, 10, 10]
+    m = spark.createDataFrame([(0.25,), (1500.0,), (12.5,)], "v double")
+    assert [r.v for r in m.select(entries.amount_text(F.col("v")).alias("v")).collect()] == ["250 mcg", "1.5 g", "12.5 mg"]
+    with pytest.raises(Exception, match="more than 3"):
+        df.select(entries.short_enough(F.col("t"), 3)).collect()
+
+
+def test_relations(spark):
+    small = spark.createDataFrame([(1, "p", "x"), (1, "p", "y"), (1, "q", "z")], "l int, s string, m string")
+    large = spark.createDataFrame([(1, "g", "x"), (1, "g", "y"), (1, "h", "x"), (2, "i", "z")], "l int, g string, m string")
+    assert [(r.s, r.g) for r in relations.contained(small, large, ["l"], "s", "g", "m").collect()] == [("p", "g")]
+    a = spark.createDataFrame([(1, 7), (2, 7), (2, 8)], "l int, e int")
+    b = spark.createDataFrame([(1, 7), (2, 8)], "l int, e int")
+    assert [r.l for r in relations.distinct_sides(a, b, ["l"], "e").collect()] == [2]
+
+
 def test_streams(spark, tmp_path):
     rows = spark.createDataFrame([(1, "a"), (2, "b")], "id long, v string")
     rows.write.parquet(str(tmp_path / "in"))
