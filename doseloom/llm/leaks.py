@@ -14,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .codepoints import DIGIT, UNCASED, UPPER, Block, blocks, class_table, fold_table
+from ..functions.arrow import arrow_type
+from .codepoints import DIGIT, MARK, UPPER, Block, blocks, class_table, fold_table
 
 #: Words (characters in scripts without spaces) in a window.
 WINDOW = 5
@@ -44,7 +45,7 @@ def words(block: Block, by_char: bool) -> Words:
     """Normalised words (runs of letters and digits without case and accents), or each letter or digit for itself."""
     cp = block.clipped()
     kind, fold = class_table()[cp], fold_table()[cp]
-    solid = (((kind >= UPPER) & (kind <= DIGIT)) | (kind == DIGIT + 1)) & (fold != 0)
+    solid = (((kind >= UPPER) & (kind <= DIGIT)) | (kind == MARK)) & (fold != 0)
     at = np.flatnonzero(solid)
     row_of = None
     if by_char:
@@ -53,7 +54,7 @@ def words(block: Block, by_char: bool) -> Words:
         if not len(at):
             return Words(np.zeros(0, np.uint64), at, at, np.zeros(block.rows + 1, np.int64))
         # accents that stand alone lie within a word
-        mute = (kind == DIGIT + 1) & (fold == 0)
+        mute = (kind == MARK) & (fold == 0)
         gap = np.concatenate(([0], np.cumsum(~solid & ~mute, dtype=np.int64)))
         first = np.ones(len(at), bool)
         first[1:] = gap[at[1:]] != gap[at[:-1]]
@@ -275,7 +276,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
                 ids = pa.array([x[1] for x in found], item_type)
                 yield pa.RecordBatch.from_arrays([ids, batch.column(0).take(take), *(pa.array([x[i] for x in found], pa.int32()) for i in (2, 3, 4, 5))], ["item_id", "doc_id", "start_char", "end_char", "item_words", "edits"])
 
-        item_type = _arrow_type(items.schema[item_id].dataType)
+        item_type = arrow_type(items.schema[item_id].dataType)
         part = named.mapInArrow(find, schema)
         out = part if out is None else out.union(part)
     if out is None:
@@ -284,12 +285,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     return out.groupBy("item_id", "doc_id").agg(best.alias("b")).select("item_id", "doc_id", "b.*")
 
 
-def _arrow_type(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
 def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", how: str = "spans", size: int = WINDOW) -> DataFrame:
     """docs without leaked passages: how='spans' cuts them out of the text (one blank each), 'documents' drops every text that holds one.
 

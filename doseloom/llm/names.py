@@ -88,6 +88,16 @@ def edits(a: str, b: str, most: int) -> int:
     """Changes, inserts, deletes and swaps of neighbours between two names; a number over `most` if there are more."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    # what both begin and end with costs nothing
+    low, high = 0, min(len(a), len(b))
+    while low < high and a[low] == b[low]:
+        low += 1
+    end = 0
+    while end < high - low and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[low : len(a) - end], b[low : len(b) - end]
+    if not a or not b:
+        return max(len(a), len(b))
     before2: list[int] = []
     before = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):

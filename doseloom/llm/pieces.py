@@ -72,7 +72,7 @@ def solve(tasks: list[Task], limit: int) -> None:
         group = [t for t in tasks[done:] if 4 * t.size >= tasks[done].size]
         done += len(group)
         rows, wide = len(group), group[0].size
-        begins, held, own = np.zeros((rows, wide + 1)), np.full((rows, wide + 1), np.inf), np.zeros((rows, wide + 1))
+        begins, held = np.zeros((rows, wide + 1)), np.full((rows, wide + 1), np.inf)
         low, aim, price, came = np.zeros((rows, wide), np.intp), np.zeros((rows, wide)), np.zeros((rows, wide)), np.zeros((rows, wide + 1), np.int32)
         for i, t in enumerate(group):
             n = t.size
