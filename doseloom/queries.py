@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import units
 from .operators.nested import flatten_block
 from .operators.packed import unpack_values
 from .plans.dosing import daily_totals, ingredient_amounts
@@ -40,4 +41,72 @@ def p6_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {"p1_found": p1_found, "p5_found": p5_found, "p6_found": p6_found}
-SQL: dict[str, str] = {}
+
+
+def _values(rows) -> str:
+    return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else repr(x) for x in r) + ")" for r in rows)
+
+
+_NUMBER = r"([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]*[.,][0-9]+|[0-9]+)"
+_UNIT = r"(x ?1,?000|thousand|thou|million|mio\.?|mill|k|m)??\s*(?:int\.?\s*|international\s+|usp\s+)?(" + "|".join(sorted(units.UNITS, key=lambda u: (-len(u), u))) + ")"
+
+
+def _rate(text: str) -> str:
+    """SQL for the times per day of a period's text."""
+    t = rf"regexp_replace(regexp_replace(lower(trim({text})), '^(/|per |every |each |q\.?\s?)\s*|\.$', ''), '^every\s+', '')"
+    counted = rf"regexp_extract({t}, '^([0-9.]+)\s*(h|hr|hrs|hour|hours|d|day|days|wk|wks|week|weeks)$', 2)"
+    size = rf"try_cast(regexp_extract({t}, '^([0-9.]+)\s*(h|hr|hrs|hour|hours|d|day|days|wk|wks|week|weeks)$', 1) as double)"
+    return f"coalesce((select rate from periods where name = {t}), case left({counted}, 1) when 'h' then 24 / {size} when 'd' then 1 / {size} when 'w' then 1 / (7 * {size}) end)"
+
+
+def _number(text: str) -> str:
+    return rf"try_cast(case when regexp_full_match({text}, '[0-9]{{1,3}}(,[0-9]{{3}})+([.][0-9]+)?') then replace({text}, ',', '') else replace({text}, ',', '.') end as double)"
+
+
+def _unwrapped(j: str) -> str:
+    return f"case when json_type({j}) = 'VARCHAR' and json_valid({j} ->> '$') then ({j} ->> '$')::json when json_type({j}) = 'OBJECT' and len(json_keys({j})) = 1 and json_keys({j})[1] = block then {j} -> block else {j} end"
+
+
+def _items(j: str) -> str:
+    """SQL for a JSON value as a list of JSON values."""
+    return f"case coalesce(json_type({j}), 'NULL') when 'NULL' then []::json[] when 'ARRAY' then from_json({j}, '[\"json\"]') else [{j}] end"
+
+
+_DEEP = "((field = 'components' and block = 'openfda') or (field = 'adverse_reactions_table' and block = 'text_fields'))"
+
+SQL: dict[str, str] = {
+    "p6_found": f"""
+with once as (select distinct rec_id, openfda, text_fields from raw_label),
+t0 as (select rec_id, 'openfda' as block, openfda as t from once union all select rec_id, 'text_fields', text_fields from once),
+j0 as (select rec_id, block, t::json as j from t0 where t is not null and json_valid(t)),
+j1 as (select rec_id, block, {_unwrapped("j")} as j from j0), j2 as (select rec_id, block, {_unwrapped("j")} as j from j1), j3 as (select rec_id, block, {_unwrapped("j")} as j from j2), j4 as (select rec_id, block, {_unwrapped("j")} as j from j3),
+named as (select rec_id, block, unnest(from_json(j, '["json"]')) as x from j4 where json_type(j) = 'ARRAY'),
+keys as (select rec_id, block, j, unnest(json_keys(j)) as field from j4 where json_type(j) = 'OBJECT'),
+fields as (select rec_id, block, field, json_extract(j, '$."' || field || '"') as v from keys union all select rec_id, block, x ->> 'name', x -> 'values' from named where json_type(x) = 'OBJECT'),
+outer_items as (select rec_id, block, field, unnest({_items("v")}) as e, generate_subscripts({_items("v")}, 1) as pos from fields),
+texts as (select rec_id, block, field, pos, 0 as row_pos, 0 as cell_pos, case when json_type(e) = 'OBJECT' then e ->> 'text' else e ->> '$' end as value from outer_items where not {_DEEP} or json_type(e) = 'VARCHAR'),
+inner_items as (select rec_id, block, field, pos, unnest({_items("(case field when 'components' then e -> 'strengths' else e -> 'rows' end)")}) as e, generate_subscripts({_items("(case field when 'components' then e -> 'strengths' else e -> 'rows' end)")}, 1) as row_pos from outer_items where {_DEEP} and json_type(e) = 'OBJECT'),
+cells as (select rec_id, block, field, pos, row_pos, unnest({_items("(e -> 'cells')")}) as e, generate_subscripts({_items("(e -> 'cells')")}, 1) as cell_pos from inner_items where field <> 'components')
+select rec_id, block, field, pos::int as pos, row_pos, cell_pos from texts where value is not null and trim(value, E' \\t\\n\\r') <> ''
+union all select rec_id, block, field, pos::int, row_pos::int, 0 from inner_items where field = 'components' and json_type(e) <> 'NULL'
+union all select rec_id, block, field, pos::int, row_pos::int, cell_pos::int from cells where json_type(e) <> 'NULL'""",
+    "p5_found": rf"""
+with units(name, dim, size) as (values {_values((k, *v) for k, v in units.UNITS.items())}),
+scales(name, times) as (values {_values(units.SCALES.items())}, ('', 1.0)),
+periods(name, rate) as (values {_values(units.PERIODS.items())}),
+texts as (select distinct daily_total_unit as t, 'unit' as kind from medication_row union select distinct unit, 'unit' from entry_amount union select distinct as_entered, 'entered' from medication_row),
+parts as (select t, kind, case kind
+    when 'unit' then regexp_extract(lower(t), '^\s*{_NUMBER}?\s*{_UNIT}\.?\s*(?:(?:/\s*|per\s+)([a-z0-9 ]+?)\.?)?\s*$', ['number', 'scale', 'unit', 'period'])
+    else regexp_extract(lower(t), '(?:^|[^a-z0-9_.,]){_NUMBER}\s*{_UNIT}(?:$|[^\pL\pN])', ['number', 'scale', 'unit']) end as x,
+    case kind when 'entered' then regexp_extract(lower(t), '(?:^|[^a-z0-9_.,]){_NUMBER}\s*{_UNIT}\.?\s*(?:/\s*|per\s+)(h|hr|hour|d|day|wk|week)\b', 4) end as entered_period from texts where t is not null),
+read as (select t, kind, {_number("x.number")} as number, dim, size * times as factor, nullif(coalesce(entered_period, x.period), '') as period
+  from parts join units on units.name = x.unit join scales on scales.name = regexp_replace(coalesce(x.scale, ''), '[., ]', '', 'g') where scales.name = '' or dim = 'units'),
+known as (select t, kind, number, dim, factor, case when period is not null then {_rate("period")} end as rate from read where period is null or {_rate("period")} is not null),
+med as (select distinct med_id, as_entered, daily_total, daily_total_unit from medication_row),
+totals as (select 'medication_row' as tbl, med_id as row_id, dim, round(daily_total * factor * coalesce(rate, 1) * 1000)::bigint as milli_per_day
+  from med join known on kind = case when daily_total_unit is null then 'entered' else 'unit' end and t = coalesce(daily_total_unit, as_entered) where daily_total is not null),
+amt as (select distinct amount_id, med_id, amount, unit, period from entry_amount),
+parts_of as (select 'entry_amount' as tbl, amount_id as row_id, dim, round(coalesce(amount, case when unit is not null then number end) * factor * coalesce(case when unit is not null then rate end, {_rate("period")}) * 1000)::bigint as milli_per_day
+  from amt left join (select med_id, any_value(as_entered) as as_entered from med group by med_id) m using (med_id) join known on kind = case when unit is null then 'entered' else 'unit' end and t = coalesce(unit, as_entered))
+select * from totals where milli_per_day is not null union all select * from parts_of where milli_per_day is not null""",
+}
