@@ -114,7 +114,7 @@ def cache_key_hash(spark, folder):
 # words and search
 
 
-@query(f"select lang, count(*) as n_docs, sum(len({_WORDS})) as n_terms, max(len({_WORDS})) as longest from documents group by lang")
+@query(f"select lang, count(*) as n_docs, sum(len({_WORDS}))::bigint as n_terms, max(len({_WORDS}))::int as longest from documents group by lang")
 def tokenize_stats(spark, folder):
     size = F.size(T.tokens(F.col("text")))
     return read(spark, folder, "documents").groupBy("lang").agg(F.count("*").alias("n_docs"), F.sum(size).alias("n_terms"), F.max(size).alias("longest"))
@@ -142,12 +142,12 @@ def _asked(spark):
     return spark.createDataFrame(_FIXED, "query_id int, query string")
 
 
-@query(f"with {_POSTED}, {_FIXED_SQL}, seen as (select doc_id from documents), {_BM25} select query_id, rank, doc_id, score from ranked where rank <= 10")
+@query(f"with {_POSTED}, {_FIXED_SQL}, seen as (select doc_id from documents), {_BM25} select query_id, rank::int as rank, doc_id, score from ranked where rank <= 10")
 def bm25_topk(spark, folder):
     return search.bm25(read(spark, folder, "documents"), _asked(spark))
 
 
-@query(f"with {_POSTED}, wanted as (select item_id as query_id, unnest({_WORDS}) as term from eval_item where kind = 'query'), times as (select query_id, term, count(*) as times from wanted group by all), seen as (select doc_id from documents), {_BM25} select query_id, rank, doc_id, score from ranked where rank <= 10")
+@query(f"with {_POSTED}, wanted as (select item_id as query_id, unnest({_WORDS}) as term from eval_item where kind = 'query'), times as (select query_id, term, count(*) as times from wanted group by all), seen as (select doc_id from documents), {_BM25} select query_id, rank::int as rank, doc_id, score from ranked where rank <= 10")
 def bm25_multi_query(spark, folder):
     asked = read(spark, folder, "eval_item").where("kind = 'query'").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return search.bm25(read(spark, folder, "documents"), asked)
@@ -180,7 +180,7 @@ def blank_query_listing(spark, folder):
     return read(spark, folder, "documents").where("source = 'lay_summary'").select("doc_id", F.lit(0.0).alias("score")).orderBy("doc_id").limit(20)
 
 
-@query(f"with {_POSTED}, {_FIXED_SQL}, seen as (select doc_id from documents where source = 'lay_summary'), {_BM25} select query_id, rank, doc_id, score from ranked where rank <= 10")
+@query(f"with {_POSTED}, {_FIXED_SQL}, seen as (select doc_id from documents where source = 'lay_summary'), {_BM25} select query_id, rank::int as rank, doc_id, score from ranked where rank <= 10")
 def facet_then_bm25(spark, folder):
     return search.bm25(read(spark, folder, "documents"), _asked(spark), facet=F.col("source") == "lay_summary")
 
@@ -202,7 +202,7 @@ for _a in T.PROTECTED:
 _PLAIN = f"list_filter(list_transform(string_split(regexp_replace({_PLAIN}, '([.!?]) ([A-Z0-9(\\[\"''])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda s: replace(s, chr(1), '.')), lambda s: s <> '')"
 
 
-@query(f"with {_EVIDENCE} select field_name, count(*) as n_rows, sum(len({_PLAIN})) as n_sentences from evidence where sentence is not null group by field_name")
+@query(f"with {_EVIDENCE} select field_name, count(*) as n_rows, sum(len({_PLAIN}))::bigint as n_sentences from evidence where sentence is not null group by field_name")
 def sentence_split_counts(spark, folder):
     rows = read(spark, folder, "tag_evidence").dropDuplicates(["evidence_id"]).where("sentence is not null")
     return rows.groupBy("field_name").agg(F.count("*").alias("n_rows"), F.sum(F.size(T.plain_sentences(F.col("sentence")))).alias("n_sentences"))
@@ -446,7 +446,7 @@ def strength_frequency_parse(spark, folder):
     return rows.select("med_id", F.regexp_extract(t, _STRENGTH, 1).alias("amount"), F.regexp_extract(t, _STRENGTH, 2).alias("unit"), per_day.alias("per_day"))
 
 
-@query(r"with p as (select distinct result_id, medications from patient_result where medications is not null), s as (select result_id, trim(unnest(regexp_split_to_array(medications, '[,;\n]'))) as item, generate_subscripts(regexp_split_to_array(medications, '[,;\n]'), 1) as pos from p) select result_id, pos, item from s where item <> ''")
+@query(r"with p as (select distinct result_id, medications from patient_result where medications is not null), s as (select result_id, trim(unnest(regexp_split_to_array(medications, '[,;\n]'))) as item, generate_subscripts(regexp_split_to_array(medications, '[,;\n]'), 1) as pos from p) select result_id, pos::int as pos, item from s where item <> ''")
 def list_split_entries(spark, folder):
     rows = read(spark, folder, "patient_result").where("medications is not null").select("result_id", "medications").distinct()
     return rows.select("result_id", F.posexplode(F.split("medications", r"[,;\n]")).alias("n", "raw")).select("result_id", (F.col("n") + 1).alias("pos"), F.trim("raw").alias("item")).where("item <> ''")
@@ -551,7 +551,7 @@ def evidence_fallback(spark, folder):
     return relations.first_of(keys, [(best("label_id"), ["label_id", "term_id"]), (best("set_id"), ["set_id", "term_id"])], "sentence")
 
 
-@query(f"with {_EVIDENCE}, s as (select label_id, evidence_id, unnest({_PLAIN}) as s, generate_subscripts({_PLAIN}, 1) as n from evidence where field_name = 'indications_and_usage' and sentence is not null), k as (select *, row_number() over (partition by label_id order by evidence_id, n) as r from (select label_id, s, min(evidence_id) as evidence_id, arg_min(n, row(evidence_id, n)) as n from s where length(s) between 20 and 420 group by label_id, s)) select label_id, r as place, s as sentence from k where r <= 3")
+@query(f"with {_EVIDENCE}, s as (select label_id, evidence_id, unnest({_PLAIN}) as s, generate_subscripts({_PLAIN}, 1) as n from evidence where field_name = 'indications_and_usage' and sentence is not null), k as (select *, row_number() over (partition by label_id order by evidence_id, n) as r from (select label_id, s, min(evidence_id) as evidence_id, arg_min(n, row(evidence_id, n)) as n from s where length(s) between 20 and 420 group by label_id, s)) select label_id, r::int as place, s as sentence from k where r <= 3")
 def profile_sentences(spark, folder):
     e = read(spark, folder, "tag_evidence").where("field_name = 'indications_and_usage'").dropDuplicates(["evidence_id"])
     s = e.select("label_id", "evidence_id", F.posexplode(T.plain_sentences(F.col("sentence"))).alias("n", "s")).where(F.length("s").between(20, 420))
