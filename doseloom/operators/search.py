@@ -48,9 +48,10 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str
     seen = docs if facet is None else docs.where(facet)
     allowed = lengths(seen, doc_id, text)
     weighted = wanted.join(document_frequencies(posted), "term")
-    scored = posted.join(weighted, "term").join(allowed, "doc_id").join(F.broadcast(stats))
-    idf = F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean"))
+    scored = posted.join(weighted, "term").join(allowed, "doc_id")
+    n_docs, mean = stats.select("n_docs").scalar(), stats.select("mean").scalar()
+    idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+    norm = F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / mean)
     hits = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * idf * F.col("tf") * (K1 + 1) / norm), 6).alias("score")).where("score > 0")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")))
     return (ranked if k is None else ranked.where(F.col("rank") <= k)).select("query_id", "rank", "doc_id", "score")
