@@ -1,7 +1,7 @@
 """Freely typed names mapped to the entries of a reference list.
 
 A value is cut down to its leading name, normalised, and compared by weighted cosine of character
-n-grams with the entries that an inverted index of those n-grams yields. Of the candidates above a
+n-grams with the entries that an inverted index of those n-grams yields. Of all candidates above a
 threshold the one with the fewest slips, then the highest cosine, is accepted if it is within a few slips
 and ahead of the runner-up by a margin.
 """
@@ -20,10 +20,8 @@ from pyspark.sql import functions as F
 
 from ..functions.arrow import arrow_type, columns, no_clash, quoted, spec
 
-#: Least cosine of a candidate, candidates looked at closer, most slips of the pen in an accepted name, cosine lead that settles equal slips.
-THRESHOLD, CANDIDATES, SLIPS, MARGIN = 0.15, 12, 2, 0.02
-#: Cosine lead over later candidates from which they are not looked at any more.
-FAR = 0.25
+#: Least cosine of a candidate, most slips of the pen in an accepted name, cosine lead that settles equal slips.
+THRESHOLD, SLIPS, MARGIN = 0.15, 2, 0.02
 #: Entries of the list that go to the workers at once; a longer list is taken in blocks.
 BLOCK_ENTRIES = 200_000
 #: Normalised names whose result a worker keeps.
@@ -113,6 +111,21 @@ def edits(a: str, b: str, most: int) -> int:
     return before[-1]
 
 
+def letter_counts(names: list[str]) -> np.ndarray:
+    """How often each letter is in each name; letters of other scripts share a column."""
+    out = np.zeros((len(names), 32), np.int16)
+    if names:
+        cp = np.frombuffer("".join(names).encode("utf-32-le"), np.uint32)
+        np.add.at(out, (np.repeat(np.arange(len(names)), [len(n) for n in names]), cp & 31), 1)
+    return out
+
+
+def within(counts: np.ndarray, own: np.ndarray, most: int) -> np.ndarray:
+    """Whether as few slips are possible: each takes away one letter and adds one at most."""
+    d = counts - own
+    return (np.maximum(d, 0).sum(1) <= most) & (np.maximum(-d, 0).sum(1) <= most)
+
+
 class Index:
     """Inverted index of the n-grams of a block of entries."""
 
@@ -121,7 +134,10 @@ class Index:
         self.ids, self.keys = [r[1] for r in rows], [letters(r[0]) for r in rows]
         self.seconds = frozenset(w for k in self.keys for w in k.split()[1:])
         self.exact = {k: i for i, k in reversed(list(enumerate(self.keys)))}
-        bags = [grams(sound(k)) for k in self.keys]
+        self.sounds = [sound(k) for k in self.keys]
+        self.spaces = np.array([k.count(" ") for k in self.keys], np.int64)
+        self.letters, self.sound_letters = letter_counts(self.keys), letter_counts(self.sounds)
+        bags = [grams(k) for k in self.sounds]
         df = Counter(g for b in bags for g in b)
         n = len(bags)
         self.idf = {g: float(np.log(1 + n / d)) for g, d in df.items()}
@@ -136,38 +152,37 @@ class Index:
         self.lists = {g: (np.array(a), np.array(w)) for g, (a, w) in lists.items()}
         self.known: dict[str, tuple[int, float, float]] = {}
 
-    def best(self, name: str, top: int = CANDIDATES) -> list[tuple[float, int]]:
-        """Highest cosines and their entries."""
-        bag = grams(sound(name))
+    def cosines(self, own: str) -> np.ndarray:
+        """Cosine of a name, as it sounds, with every entry."""
+        bag = grams(own)
         weights = {g: c * self.idf.get(g, self.rare) for g, c in bag.items()}
         norm = sum(w * w for w in weights.values()) ** 0.5
         hit = [(self.lists[g], w) for g, w in weights.items() if g in self.lists]
         if not hit:
-            return []
-        score = np.bincount(np.concatenate([x[0] for x, _ in hit]), np.concatenate([x[1] * w for x, w in hit]), len(self.keys)) / norm
-        at = np.argpartition(-score, min(top, len(score) - 1))[:top]
-        return sorted(((float(score[i]), int(i)) for i in at if score[i] > 0), key=lambda x: (-x[0], x[1]))
+            return np.zeros(len(self.keys))
+        return np.bincount(np.concatenate([x[0] for x, _ in hit]), np.concatenate([x[1] * w for x, w in hit]), len(self.keys)) / norm
 
     def find(self, name: str) -> tuple[int, float, float]:
-        """Entry (-1 if none), its score, the lead over the runner-up."""
+        """Entry (-1 if none), its score, the lead over the runner-up. Every entry above the threshold that may be near enough is compared."""
         if not name:
             return -1, 0.0, 0.0
         if name in self.exact:
             return self.exact[name], 1.0, 1.0
-        found = [x for x in self.best(name) if x[0] >= THRESHOLD]
         own = sound(name)
+        scores = self.cosines(own)
+        at = np.flatnonzero(scores >= THRESHOLD)
+        if not len(at):
+            return -1, 0.0, 0.0
+        highest = float(scores[at].max())
+        at = at[self.spaces[at] == name.count(" ")]  # an extended name is an entry of its own
+        at = at[within(self.letters[at], letter_counts([name]), SLIPS) | within(self.sound_letters[at], letter_counts([own]), SLIPS)]
         ranked: list[tuple[int, float, int]] = []
-        for score, i in found:
-            key = self.keys[i]
-            if ranked and ranked[0][0] <= 1 and -ranked[0][1] - score > FAR:
-                break  # so much less alike that it can't have fewer slips
-            if name.count(" ") != key.count(" "):
-                continue  # an extended name is an entry of its own
-            slips = min(edits(name, key, SLIPS), edits(own, sound(key), SLIPS))
+        for i in at.tolist():
+            slips = min(edits(name, self.keys[i], SLIPS), edits(own, self.sounds[i], SLIPS))
             if slips <= SLIPS:
-                ranked.append((slips, -score, i))
+                ranked.append((slips, -float(scores[i]), i))
         if not ranked:
-            return -1, found[0][0] if found else 0.0, 0.0
+            return -1, highest, 0.0
         ranked.sort()
         slips, score, i = ranked[0][0], -ranked[0][1], ranked[0][2]
         if len(ranked) == 1:

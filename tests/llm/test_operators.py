@@ -87,6 +87,17 @@ def test_index_against_brute_force():
         assert (index.ids[at] if at >= 0 else -1) == want, typed
 
 
+def test_entry_behind_many_more_alike():
+    """Two slips break most of a short name's letter pairs: entries with four slips and more come first by cosine."""
+    others = [a + b + c + d + e for a in "bghj" for b in "aeou" for c in "klmst" for d in "aeou" for e in "xz"]
+    keys = ["doprina", *(a + b + "efprnia" for a in "bghjt" for b in "klm"), *others]
+    index = Index(list(range(len(keys))), keys)
+    typed = "dfprnia"
+    cosines = index.cosines(typed)
+    assert (cosines > cosines[index.keys.index("doprina")]).sum() >= 12
+    assert index.ids[index.find(typed)[0]] == 0
+
+
 def test_map_names(spark, monkeypatch):
     names = spark.createDataFrame([(1, "trazodone"), (2, "metformin"), (3, None), (None, "x")], "name_id long, name_key string")
     df = spark.createDataFrame([(1, "Trazodne 5 mg"), (1, "Trazodne 5 mg"), (2, None), (3, ""), (4, "z" * 200_000), (5, "metformin")], "id long, v string")
