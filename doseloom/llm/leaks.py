@@ -80,6 +80,12 @@ def windows(h: np.ndarray, size: int = WINDOW) -> np.ndarray:
     return out ^ (out >> np.uint64(32))
 
 
+def least_windows(words: int, size: int = WINDOW) -> int:
+    """Windows that every passage of an item of so many words keeps, whatever its length: an edit breaks `size` of them."""
+    spans = range(max(1, int(-(-words * SHARE // 1))), words + 1)
+    return max(1, min((n - size + 1 - size * (n // ONE_IN) for n in spans), default=1))
+
+
 @dataclass
 class Held:
     """A block of held-out texts, as the workers need it; one for words, one for characters."""
@@ -92,9 +98,10 @@ class Held:
     at: np.ndarray = None
     item: np.ndarray = None
     pos: np.ndarray = None
-    need: np.ndarray = None
+    least: list[int] = field(default_factory=list)
 
     def build(self) -> Held:
+        self.least = [least_windows(len(h), self.size) for h in self.words]
         all_keys, items, poss = [], [], []
         for i, h in enumerate(self.words):
             w = windows(h, min(self.size, len(h)) if len(h) else self.size)
@@ -145,15 +152,83 @@ def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
     return before[-1]
 
 
-def passage(item: np.ndarray, text: np.ndarray, runs: list[tuple[int, int, int]], share: float = SHARE, one_in: int = ONE_IN) -> tuple[int, int, int, int] | None:
+def reach(item: list[int], text: list[int], most: int) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """How many words of an item, and of a text beside it, are passed with 0, 1, ... `most` edits; and those up to an equal word.
+
+    Furthest place on each diagonal for each number of edits, so unlike texts cost little.
+    """
+    m, n = len(item), len(text)
+    furthest, equal = [], []
+    end, before = (0, 0), {}
+    far = (0, 0)
+    for e in range(most + 1):
+        now = {}
+        for k in range(-e, e + 1):
+            i = max(before.get(k, -2) + 1, before.get(k + 1, -2) + 1, before.get(k - 1, -1)) if e else 0
+            i = min(i, m, n - k)
+            if i < 0 or i + k < 0:
+                continue
+            first = i
+            while i < m and i + k < n and item[i] == text[i + k]:
+                i += 1
+            now[k] = i
+            if i > far[0]:
+                far = i, i + k
+            if i > first and i > end[0]:
+                end = i, i + k
+        furthest.append(far)
+        equal.append(end)
+        before = now
+    return furthest, equal
+
+
+def passage(item: np.ndarray, text: np.ndarray, runs: list[tuple[int, int, int]], share: float = SHARE, one_in: int = ONE_IN, size: int = WINDOW) -> tuple[int, int, int, int] | None:
     """Longest passage of an item in a text: first and last word in the text, words of the item, edits; none below the share.
 
-    runs: (place in the text, place in the item, words) of equal runs. They are chained; what lies between is compared word by word.
+    runs: (place in the text, place in the item, words) of all equal runs of `size` words or more. They are chained; what
+    lies between and beyond them is compared word by word. A passage begins and ends with equal words if one of these is
+    long enough.
     """
     runs = sorted(set(runs))
-    n = len(runs)
     need, most = -(-len(item) * share // 1), len(item) // one_in
+    spare = []
+    for s, q, cost in _chains(item, text, runs, most):
+        span = runs[q][1] + runs[q][2] - runs[s][1]
+        # beyond the outermost runs every edit adds `size` words at most, as no equal run of that length is left
+        more = most - cost
+        if one_in > size:
+            more = min(more, (span + 2 * (size - 1) - one_in * cost) // (one_in - size))
+        if more >= 0 and span + 2 * (size - 1) + size * more >= need:
+            spare.append((s, q, cost, more))
+    ahead, behind = {}, {}
+    for s, q, _, more in spare:
+        ahead[s], behind[q] = max(more, ahead.get(s, 0)), max(more, behind.get(q, 0))
+    for s, edits in ahead.items():
+        t, i, _ = runs[s]
+        ahead[s] = reach(item[:i][::-1].tolist(), text[max(0, t - i - edits) : t][::-1].tolist(), edits)
+    for q, edits in behind.items():
+        t, i = runs[q][0] + runs[q][2], runs[q][1] + runs[q][2]
+        behind[q] = reach(item[i:].tolist(), text[t : t + len(item) - i + edits].tolist(), edits)
     best = None
+    for equal in (1, 0):
+        for s, q, cost, more in spare:
+            (begin_t, begin_i, _), (t, i, k) = runs[s], runs[q]
+            for a in range(more + 1):
+                i1, t1 = ahead[s][equal][a]
+                for b in range(more - a + 1):
+                    i2, t2 = behind[q][equal][b]
+                    wide, edits = i + k - begin_i + i1 + i2, cost + a + b
+                    if edits * one_in <= wide and wide >= need and (best is None or (wide, -edits) > (best[2], -best[3])):
+                        best = begin_t - t1, t + k + t2, wide, edits
+        if best:
+            break
+    return best
+
+
+def _chains(item: np.ndarray, text: np.ndarray, runs: list[tuple[int, int, int]], most: int) -> list[tuple[int, int, int]]:
+    """First and last run and edits of each chain of runs with no more than `most` edits."""
+    out = []
+    n = len(runs)
     for s in range(n):
         cost = {s: 0}
         for q in range(s, n):
@@ -174,12 +249,8 @@ def passage(item: np.ndarray, text: np.ndarray, runs: list[tuple[int, int, int]]
                 if least is None:
                     continue
                 cost[q] = least
-            begin_t, begin_i, _ = runs[s]
-            span = i + k - begin_i
-            edits = cost[q]
-            if edits * one_in <= span and span >= need and (best is None or span > best[2]):
-                best = begin_t, t + k, span, edits
-    return best
+            out.append((s, q, cost[q]))
+    return out
 
 
 def scan(column: pa.Array, sets: tuple[Held, Held]) -> Iterator[tuple[int, int, int, int, int, int, Held]]:
@@ -230,12 +301,11 @@ def scan(column: pa.Array, sets: tuple[Held, Held]) -> Iterator[tuple[int, int,
             got = np.add.reduceat(length - held.size + 1, at)
             for a, b, windows_hit in zip(at, ends, got):
                 h = held.words[item[a]]
-                need = int(-(-len(h) * SHARE // 1))
-                if windows_hit < max(1, need - held.size + 1 - held.size * (need // ONE_IN)):
+                if windows_hit < held.least[item[a]]:
                     continue
                 base = w.row_at[row[a]]
                 text = w.hash[base : w.row_at[row[a] + 1]]
-                found = passage(h, text, [(int(t - base), int(p), int(k)) for t, p, k in zip(hit[a:b], pos[a:b], length[a:b])])
+                found = passage(h, text, [(int(t - base), int(p), int(k)) for t, p, k in zip(hit[a:b], pos[a:b], length[a:b])], size=held.size)
                 if found:
                     first, last, span, edits = found
                     r = rows[row[a]]
@@ -258,8 +328,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
     Columns: item_id, doc_id, start_char, end_char, item_words (length of the longest passage), edits.
     Words (in ja and zh characters) are compared without case, accents, punctuation and white space; one
-    in eight may differ. Items shorter than a window of five words give no rows; null texts and ids
-    neither. Repeated documents and items give a pair once. Every window of every text is looked at. Held-out
+    in eight may differ, at the ends of the passage too. Items shorter than a window of five words give no rows; null texts and ids
+    neither, nor does a passage without five equal words in a row (only one under ten words can be so). Repeated documents and items give a pair once. Every window of every text is looked at. Held-out
     sets of more than SET_CHARS characters are taken in blocks, one scan of the corpus each.
     """
     spark = docs.sparkSession

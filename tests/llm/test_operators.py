@@ -134,6 +134,13 @@ def test_leaks(spark):
     assert got == {0, 1, 3, 5, 8}
 
 
+def test_leaks_with_changes_near_the_ends(spark):
+    pad, item = WORDS[100:300], WORDS[:42]
+    part = lambda n, *at: " ".join([*pad, *("other" if i in at else w for i, w in enumerate(item[:n])), *pad])
+    # 21 of 42 words suffice; the last two are too short, and changed in too many places
+    assert leaks(spark, part(21, 2), part(21, 18), part(22, 3, 17), part(24, 6, 12, 18), part(18, 2), part(24, 4, 9, 14, 19), item=" ".join(item)) == {0, 1, 2, 3}
+
+
 def test_leaks_in_scripts_without_spaces(spark):
     item = "再採点の後、単独の誘導薬が別成分を指し、廃止頁の注が間隔を定めていない。鍵を開く"
     assert leaks(spark, f"前置き。{item}後", "再採点の後、関係のない文が続く長い文章", item=item) == {0}
