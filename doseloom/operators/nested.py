@@ -51,9 +51,8 @@ class Leaf:
 
 def readable(text: str | None, name: str):
     """The block as a dict of fields, without wrappings; _UNREADABLE if there is no such block."""
-    block, left = text, 8
-    while left:
-        left -= 1
+    block = text
+    while True:  # every step takes a wrapping off
         if isinstance(block, str):
             try:
                 block = json.loads(block)
@@ -63,15 +62,12 @@ def readable(text: str | None, name: str):
             if len(block) == 1 and name in block and isinstance(block[name], (dict, list, str)):
                 block = block[name]
             elif "name" in block and set(block) <= {"name", "values", "value"} and isinstance(block["name"], str):
-                block = [block]
+                return _named([block])
             else:
                 return block
         elif isinstance(block, list):
             if block and all(isinstance(x, dict) and isinstance(x.get("name"), str) and set(x) <= {"name", "values", "value"} for x in block):
-                out: dict = {}
-                for x in block:
-                    out.setdefault(x["name"], x.get("values", x.get("value")))
-                return out
+                return _named(block)
             if len(block) == 1:
                 block = block[0]
             elif block and all(isinstance(x, dict) for x in block) and len({k for x in block for k in x}) == sum(map(len, block)):
@@ -80,7 +76,15 @@ def readable(text: str | None, name: str):
                 return _UNREADABLE
         else:
             return _UNREADABLE
-    return _UNREADABLE
+
+
+def _named(block: list[dict]) -> dict:
+    """Fields of a list of {name, values}; the values of a repeated name follow each other."""
+    out: dict = {}
+    for x in block:
+        name, value = x["name"], x.get("values", x.get("value"))
+        out[name] = [*as_list(out[name]), *as_list(value)] if name in out else value
+    return out
 
 
 def as_list(value) -> list:
@@ -165,7 +169,8 @@ def flatten_block(df: DataFrame, column: str, name: str, lists: dict[str, list[s
     Places count from 1; where a field has fewer lists the rest are 0. A null, unreadable or empty block gives no
     rows. A bare value or single object is a list of one; an object around a text ({"text": ...}) counts as the text;
     blank and null entries give no rows but hold their place. Wrappings of a block (its name, JSON within a string, a
-    list of {name, values}) are taken off. lists names the inner lists of fields of objects, at most two. With keys,
+    list of {name, values}, where the values of a repeated name count on) are taken off, however many. lists names the
+    inner lists of fields of objects, at most two. With keys,
     rows that agree in them are one record. Existing columns of the new names are a ValueError.
     """
     lists = lists or {}

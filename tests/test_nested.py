@@ -69,3 +69,12 @@ def test_operator_edge_cases(spark):
     assert flatten_block(df.limit(0), "t", "t").count() == 0
     with pytest.raises(ValueError):
         flatten_block(df.withColumnRenamed("rec", "pos"), "t", "t")
+
+
+def test_repeated_names_and_many_wrappings():
+    named = [{"name": "a", "values": ["x", None]}, {"name": "b", "value": "y"}, {"name": "a", "value": "z"}]
+    assert readable(json.dumps(named), "t") == {"a": ["x", None, "z"], "b": "y"}
+    block = {"a": ["x"], "b": ["y"]}
+    for _ in range(12):
+        block = [{"t": block}]
+    assert readable(json.dumps(block), "t") == {"a": ["x"], "b": ["y"]}
