@@ -100,9 +100,10 @@ def solve(tasks: list[Task], limit: int) -> None:
             t.value, t.came = float(value[i, t.size - 1]), came[i]
 
 
-def _slices(block: Block, at: np.ndarray, count: np.ndarray, c: Counter) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words, those of many tokens in slices; whether each is the rest of a word."""
+def _slices(block: Block, at: np.ndarray, count: np.ndarray, c: Counter, long: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words, those of many tokens in slices if their row is long; whether each is the rest of a word."""
     big = np.flatnonzero(count > LONG_WORD)
+    big = big[long[np.searchsorted(block.starts, at[big], "right") - 1]]
     if not len(big):
         return at, count, np.zeros(len(at), bool)
     new_at, new_count, rest = [], [], []
@@ -123,11 +124,13 @@ def _slices(block: Block, at: np.ndarray, count: np.ndarray, c: Counter) -> tupl
 def cut_block(block: Block, limit: int, overlap: int, c: Counter) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of each row: its number in the batch, and start, end, tokens and overlapping tokens of its pieces, in characters of the row."""
     at, count = c.words(block)
-    at, count, rest = _slices(block, at, count, c)
     cum = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
     word = np.searchsorted(at, block.starts)
-    total = cum[word[1:]] - cum[word[:-1]]
+    total = cum[word[1:]] - cum[word[:-1]]  # of whole words: slices count for more
     long = np.flatnonzero(total > limit)
+    at, count, rest = _slices(block, at, count, c, total > limit)
+    cum = np.concatenate(([0], np.cumsum(count, dtype=np.int64)))
+    word = np.searchsorted(at, block.starts)
     natural: dict[int, np.ndarray] = {}
     if len(long):
         size = block.starts[long + 1] - block.starts[long]

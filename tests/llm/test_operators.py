@@ -194,6 +194,23 @@ def test_mixture_edge_cases(spark):
 # pieces
 
 
+def test_long_word_within_the_limit_is_one_piece():
+    import numpy as np
+    import pyarrow as pa
+
+    from doseloom.llm.codepoints import blocks
+    from doseloom.llm.pieces import SLICE, cut_block
+    from doseloom.llm.tokens import counter
+
+    word = "information" * 60
+    c = counter()
+    limit = len(c.encode(word))
+    assert sum(len(c.encode(word[i : i + SLICE])) for i in range(0, len(word), SLICE)) > limit
+    for block in blocks(pa.array([word])):
+        (_, begin, _, tokens, _), = cut_block(block, limit, 8, c)
+        assert len(begin) == 1 and np.array_equal(tokens, [limit])
+
+
 def test_cut_texts(spark):
     df = spark.createDataFrame([(1, "One two three. " * 300), (1, "One two three. " * 300), (2, None), (3, ""), (4, "short")], "doc_id long, text string")
     got = cut_texts(df, with_text=True).collect()
