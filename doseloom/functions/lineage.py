@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a folder of its own only where the session names none, as in tests."""
+    """The folder of spark.checkpoint.dir. A local session that names none gets one of its own, as in tests; on a cluster that is a ValueError."""
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
     if named:
@@ -16,6 +16,8 @@ def checkpoint_folder(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="doseloom-"))
     return context._jsc.sc().getCheckpointDir().get()
 

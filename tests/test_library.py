@@ -18,7 +18,8 @@ def test_elements_across_chunks():
         chunks = (text[i : i + size] for i in range(0, len(text), size))
         got = [x["a"] for x in files.elements(chunks, "results") if isinstance(x, dict) and "a" in x]
         assert got == list(range(50)) or size == 0
-    assert [x["a"] for x in files.elements(iter([text[: len(text) // 2]]), "results")] == list(range(len([x for x in files.elements(iter([text[: len(text) // 2]]), "results")])))
+    half = [x["a"] for x in files.elements(iter([text[: len(text) // 2]]), "results")]
+    assert half == list(range(len(half))) and 20 <= len(half) <= 30
 
 
 def test_zipped_records_and_manifest(spark, tmp_path):
@@ -48,7 +49,7 @@ def test_tsv_and_sinks(spark, tmp_path):
 def test_text_functions(spark):
     df = spark.createDataFrame([("The liver. It is fine, e.g. Today! No?", ["liver", "x"]), ("", ["a"]), (None, ["a"])], "t string, q array<string>")
     got = df.select(T.plain_sentences(F.col("t")).alias("s"), F.size(T.tokens(F.col("t"))).alias("n"), T.negated(F.col("t")).alias("neg"), T.snippet(F.col("t"), F.col("q"), 5).alias("p")).collect()
-    assert got[0].s == ["The liver.", "It is fine, e.g. Today!", "No?"] and got[0].n == 8 and got[0].neg and got[0].p == "The liver…"[:5] + got[0].p[5:]
+    assert got[0].s == ["The liver.", "It is fine, e.g. Today!", "No?"] and got[0].n == 8 and got[0].neg and got[0].p == "The liver…"
     assert got[2].n == 0 and got[2].s is None
 
 
