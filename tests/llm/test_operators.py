@@ -7,7 +7,7 @@ from doseloom.llm.mixing import mix
 from doseloom.llm.names import Index, edits, leading_name, map_names
 from doseloom.llm.pieces import cut_texts
 from doseloom.llm.sentences import split_sentences
-from doseloom.llm.survivors import Field, align, survivors
+from doseloom.llm.survivors import Field, align, consensus, profile, survivors
 from doseloom.llm.tokens import count_tokens, encoding
 
 DOC = "doc_id long, text string, source string"
@@ -30,10 +30,43 @@ def test_majority_and_rank(spark):
     assert survivors(df.limit(0), "g", {"v": Field(F.col("t"))}).count() == 0
 
 
+def test_columns_decide_between_values():
+    """No value has a majority, but each of its tokens has; the newest value strays in one column."""
+    values = {"acme forte 5 mg": [1.0, 1], "acme forte 10 mg": [1.0, 2], "acme fort 10 mg": [1.0, 3], "acne forte 10 mg tab": [1.5, 4]}
+    assert consensus(values, "sum") == "acme forte 10 mg" and consensus(values, "rank") == "acne forte 10 mg tab"
+    assert profile([(2.0, 2, "a c"), (1.0, 1, "a b c"), (1.0, 0, "a b c d")], "sum") == ["a", "b", "c", "d"]
+
+
+def test_recent_labels_outvote_a_newest_one_that_strays(spark):
+    u = "11111111-2222-3333-4444-555555555555"
+    old = [(f"o{i}", u, "1", "20000101", ["x"], ["Acmene Old"]) for i in range(6)]
+    new = [(f"n{i}", u, "1", "20240101", ["x"], ["Acmene Forte"]) for i in range(2)]
+    got = label_survivors(spark.createDataFrame([*old, *new, ("z", u, "1", "20240601", ["x"], ["Acmene Frote"])], LABEL)).first()
+    assert got.brand_names == "Acmene Forte" and got.label_id == "z" and got.n_records == 9
+
+
+def test_spread_groups_give_the_same(spark, monkeypatch):
+    import random
+
+    import doseloom.llm.survivors as module
+
+    rng = random.Random(5)
+    words = "alpha beta gamma delta 5 10 mg".split()
+    rows = [(rng.choice("abc"), f"r{rng.randrange(150)}", " ".join(rng.sample(words, rng.randint(1, 5))), float(rng.randrange(40)), rng.choice([0.5, 1.0, 2.0])) for _ in range(300)]
+    rows += rows[:20] + [("a", "r999", None, None, 1.0), ("d", None, "alpha", 1.0, 1.0), ("e", "r1", "alpha", None, None), ("e", "r2", "beta", None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, id string, v string, t double, w double")
+    fields = {"v": Field(F.col("t"), vote="sum", weight=F.col("w")), "x": Field(F.col("t"), value=F.col("v")), "y": Field(F.col("t"), value=F.col("v"), valid=F.col("v").contains("mg"))}
+    for record in ("id", None):
+        monkeypatch.setattr(module, "LARGE", 2_000)
+        want = sorted(map(str, survivors(df, "g", fields, record).collect()))
+        monkeypatch.setattr(module, "LARGE", 1)
+        assert sorted(map(str, survivors(df, "g", fields, record).collect())) == want and len(want) == (4 if record else 5)
+
+
 def test_hot_group(spark):
-    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("g"), F.concat(F.lit("name "), F.col("id") % 7).alias("v"), F.col("id").alias("t"))
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("k"), F.col("id") % 50)).alias("g"), F.concat(F.lit("name "), F.col("id")).alias("v"), F.col("id").alias("t"))
     got = {r.g: r.v for r in survivors(df, "g", {"v": Field(F.col("t"))}).collect()}
-    assert got["hot"] == f"name {19998 % 7}"
+    assert got["hot"] == f"name {19998}"
 
 
 LABEL = "label_id string, set_id string, version string, effective_time string, ingredient_set array<string>, brand_names array<string>"
