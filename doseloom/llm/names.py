@@ -1,9 +1,10 @@
 """Freely typed names mapped to the entries of a reference list.
 
-A value is cut down to its leading name, normalised, and compared by weighted cosine of character
-n-grams with the entries that an inverted index of those n-grams yields. Of all candidates above a
-threshold the one with the fewest slips, then the highest cosine, is accepted if it is within a few slips
-and ahead of the runner-up by a margin.
+A value is cut down to its leading name and normalised; if that is no entry as it stands, an inverted index of its
+character n-grams yields candidates, which are scored by weighted cosine. Candidates above a threshold are checked
+letter by letter; the one with the fewest slips, then the highest cosine, is accepted if it is ahead of the
+runner-up by a margin. A list too long for one index is taken in blocks with common weights, and the order, the
+margin and the runner-up are those of the whole list.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,11 +22,11 @@ from pyspark.sql import functions as F
 from ..functions.arrow import arrow_type, columns, no_clash, quoted, spec
 
 #: Least cosine of a candidate, most slips of the pen in an accepted name, cosine lead that settles equal slips.
-THRESHOLD, SLIPS, MARGIN = 0.15, 2, 0.02
+THRESHOLD, SLIPS, MARGIN = 0.2, 2, 0.02
 #: Entries of the list that go to the workers at once; a longer list is taken in blocks.
 BLOCK_ENTRIES = 200_000
-#: Normalised names whose result a worker keeps.
-KEPT = 1 << 18
+#: Normalised names whose result a worker keeps; (name, entry) sums that are added up at once.
+KEPT, CELLS = 1 << 18, 1 << 20
 #: Words around a name that are none: forms, salts, routes, frequency, units, marks.
 NOISE = frozenset("""
     tab tabs tablet tablets cap caps capsule capsules injection inj oral solution soln suspension syrup cream ointment gel patch
@@ -44,26 +45,53 @@ _BRACKETS = re.compile(r"\([^()]*\)|\[[^\[\]]*\]|[™®©]")
 
 def letters(text: str) -> str:
     """Lower case without accents."""
+    if text.isascii():
+        return text.lower()
     return "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c)).lower()
 
 
-def leading_name(text: str, seconds: frozenset[str]) -> str:
-    """The leading name of a typed value: its first word that is no noise, and the next one if it extends a name."""
-    plain = letters(_BRACKETS.sub(" ", text))
-    plain = re.sub(r"\d[\d.,]*", " ", plain)
-    words = _WORD.findall(plain)
-    for i, w in enumerate(words):
-        if w in NOISE or len(w) < 3:
-            continue
-        if i + 1 < len(words) and _extends(words[i + 1], seconds):
-            return f"{w} {words[i + 1]}"
-        return w
-    return ""
-
-
-def _extends(word: str, seconds: frozenset[str]) -> bool:
-    """Whether a word is, but for one slip, the second word of an entry."""
-    return word in seconds or (word not in NOISE and len(word) >= 4 and any(abs(len(s) - len(word)) <= 1 and edits(word, s, 1) <= 1 for s in seconds))
+def words_of(text: str) -> list[str]:
+    """The words of a value without what is in brackets, numbers and marks."""
+    return _WORD.findall(letters(_BRACKETS.sub(" ", text)))
+
+
+class Words:
+    """What the entries of the whole list say about their words: entries of several words, and words that may go on a name."""
+
+    def __init__(self, keys: Iterable[str]):
+        split = [tuple(_WORD.findall(letters(k))) for k in keys]
+        self.whole = {w: " ".join(w) for w in split if len(w) > 1 or (w and w[0] in NOISE)}
+        self.longest = max(map(len, self.whole), default=1)
+        self.later = frozenset(x for w in split for x in w[1:])
+        self.known: dict[str, bool] = {}
+
+    def extends(self, word: str) -> bool:
+        """Whether a word is, but for one slip, a later word of an entry."""
+        if word in self.later:
+            return True
+        if word in NOISE or len(word) < 4:
+            return False
+        if word not in self.known:
+            if len(self.known) >= KEPT:
+                self.known.clear()
+            self.known[word] = any(abs(len(s) - len(word)) <= 1 and edits(word, s, 1) <= 1 for s in self.later)
+        return self.known[word]
+
+    def leading(self, text: str) -> str:
+        """The leading name of a typed value: the longest entry that stands there as it is, else the first word that is no
+        noise with those that go on after it as in an entry."""
+        words = words_of(text)
+        for i, w in enumerate(words):
+            for n in range(min(self.longest, len(words) - i), 0, -1):
+                if (name := self.whole.get(tuple(words[i : i + n]))) is not None:
+                    return name
+            if w in NOISE or len(w) < 3:
+                continue
+            end = i + 1
+            while end < len(words) and end - i < self.longest and self.extends(words[end]):
+                end += 1
+            return " ".join(words[i:end])
+        return ""
 
 
 def sound(name: str) -> str:
@@ -73,12 +101,12 @@ def sound(name: str) -> str:
 
 
 def grams(name: str) -> Counter:
-    """Pairs and triples of letters, with marks at the ends of words."""
+    """Pairs of letters, side by side and with one between, with marks at the ends of words."""
     out: Counter = Counter()
     for word in name.split():
         w = f"^{word}$"
         out.update(w[i : i + 2] for i in range(len(w) - 1))
-        out.update(w[i : i + 3] for i in range(len(w) - 2))
+        out.update(f"{a}_{b}" for a, b in zip(w, w[2:]))
     return out
 
 
@@ -126,101 +154,166 @@ def within(counts: np.ndarray, own: np.ndarray, most: int) -> np.ndarray:
     return (np.maximum(d, 0).sum(1) <= most) & (np.maximum(-d, 0).sum(1) <= most)
 
 
+class Weights:
+    """How rare each n-gram and letter is in the entries of the whole list."""
+
+    def __init__(self):
+        self.n, self.grams, self.letters = 0, Counter(), np.zeros(32)
+
+    def add(self, keys: list[str]) -> None:
+        sounds = [sound(letters(k)) for k in keys]
+        self.n += len(sounds)
+        for name in sounds:
+            self.grams.update(grams(name).keys())
+        self.letters += (letter_counts(sounds) > 0).sum(0)
+
+    def of(self, gram: str) -> float:
+        return float(np.log(1 + self.n / max(1, self.grams.get(gram, 1))))
+
+    def of_letters(self) -> np.ndarray:
+        return np.log(1 + self.n / np.maximum(1, self.letters))
+
+
+#: Slips, cosine (negative, so that less is better), key and id of a candidate.
+Hit = tuple[int, float, str, object]
+
+
 class Index:
     """Inverted index of the n-grams of a block of entries."""
 
-    def __init__(self, ids: list, keys: list[str]):
-        rows = sorted({(k, i) for i, k in zip(ids, keys) if k})
-        self.ids, self.keys = [r[1] for r in rows], [letters(r[0]) for r in rows]
-        self.seconds = frozenset(w for k in self.keys for w in k.split()[1:])
-        self.exact = {k: i for i, k in reversed(list(enumerate(self.keys)))}
+    def __init__(self, ids: list, keys: list[str], weights: Weights | None = None):
+        if weights is None:
+            weights = Weights()
+            weights.add([r for r in dict.fromkeys(keys) if r])
+        least: dict[str, object] = {}
+        for key, i in sorted({(letters(k), i) for i, k in zip(ids, keys) if k}):
+            least.setdefault(key, i)  # equal keys go to the least id
+        self.keys, self.ids = list(least), list(least.values())
+        self.exact = least
         self.sounds = [sound(k) for k in self.keys]
         self.spaces = np.array([k.count(" ") for k in self.keys], np.int64)
         self.letters, self.sound_letters = letter_counts(self.keys), letter_counts(self.sounds)
+        self.letter_weights = weights.of_letters()
         bags = [grams(k) for k in self.sounds]
-        df = Counter(g for b in bags for g in b)
-        n = len(bags)
-        self.idf = {g: float(np.log(1 + n / d)) for g, d in df.items()}
-        self.rare = float(np.log(1 + n))
-        norm = [sum((c * self.idf[g]) ** 2 for g, c in b.items()) ** 0.5 or 1.0 for b in bags]
+        self.weight = {g: weights.of(g) for b in bags for g in b}
+        self.rare = float(np.log(1 + weights.n))
+        self.letter_part = self.sound_letters * self.letter_weights
+        self.letter_norm = np.sqrt((self.letter_part**2).sum(1))
+        squares = np.array([sum((c * self.weight[g]) ** 2 for g, c in b.items()) for b in bags]) + self.letter_norm**2
+        self.norm = np.sqrt(np.maximum(squares, 1e-12))
         lists: dict[str, tuple[list[int], list[float]]] = {}
         for i, b in enumerate(bags):
             for g, c in b.items():
                 at, w = lists.setdefault(g, ([], []))
                 at.append(i)
-                w.append(c * self.idf[g] / norm[i])
+                w.append(c * self.weight[g])
         self.lists = {g: (np.array(a), np.array(w)) for g, (a, w) in lists.items()}
-        self.known: dict[str, tuple[int, float, float]] = {}
-
-    def cosines(self, own: str) -> np.ndarray:
-        """Cosine of a name, as it sounds, with every entry."""
-        bag = grams(own)
-        weights = {g: c * self.idf.get(g, self.rare) for g, c in bag.items()}
-        norm = sum(w * w for w in weights.values()) ** 0.5
-        hit = [(self.lists[g], w) for g, w in weights.items() if g in self.lists]
-        if not hit:
-            return np.zeros(len(self.keys))
-        return np.bincount(np.concatenate([x[0] for x, _ in hit]), np.concatenate([x[1] * w for x, w in hit]), len(self.keys)) / norm
-
-    def find(self, name: str) -> tuple[int, float, float]:
-        """Entry (-1 if none), its score, the lead over the runner-up. Every entry above the threshold that may be near enough is compared."""
-        if not name:
-            return -1, 0.0, 0.0
-        if name in self.exact:
-            return self.exact[name], 1.0, 1.0
-        own = sound(name)
-        scores = self.cosines(own)
-        at = np.flatnonzero(scores >= THRESHOLD)
-        if not len(at):
-            return -1, 0.0, 0.0
-        highest = float(scores[at].max())
-        at = at[self.spaces[at] == name.count(" ")]  # an extended name is an entry of its own
-        at = at[within(self.letters[at], letter_counts([name]), SLIPS) | within(self.sound_letters[at], letter_counts([own]), SLIPS)]
-        ranked: list[tuple[int, float, int]] = []
-        for i in at.tolist():
-            slips = min(edits(name, self.keys[i], SLIPS), edits(own, self.sounds[i], SLIPS))
+        self.weights = weights
+        self.known: dict[str, tuple[list[Hit], float]] = {}
+
+    def scores(self, names: list[str], least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Name, entry and cosine of every pair that shares an n-gram and reaches `least`, and the highest cosine of each name's pairs that may reach it; names as they sound."""
+        size = len(self.keys)
+        what, add, who, many, squares = [], [], [], [], np.zeros(len(names))
+        for i, name in enumerate(names):
+            total = 0.0
+            for g, c in grams(name).items():
+                found = self.lists.get(g)
+                w = c * (self.weight[g] if found is not None else self.weights.of(g))
+                total += w * w
+                if found is not None:
+                    what.append(found[0])
+                    add.append(found[1] * w)
+                    who.append(i)
+                    many.append(len(found[0]))
+            squares[i] = total
+        own = letter_counts(names) * self.letter_weights
+        length = np.sqrt(np.maximum(squares + (own**2).sum(1), 1e-12))
+        top = np.zeros(len(names))
+        if not what:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), top
+        pair = np.repeat(np.array(who, np.int64) * size, many) + np.concatenate(what)
+        value = np.concatenate(add)
+        if len(names) * size <= 16 * len(pair):
+            dense = np.bincount(pair, value, len(names) * size)
+            pair = np.flatnonzero(dense)
+            value = dense[pair]
+        else:  # the pairs that are touched only
+            order = np.argsort(pair, kind="stable")
+            pair, value = pair[order], value[order]
+            first = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1])))
+            pair, value = pair[first], np.add.reduceat(value, first)
+        name, entry = np.divmod(pair, size)
+        whole = length[name] * self.norm[entry]
+        # letters add no more than the product of both lengths
+        near = value + np.sqrt((own**2).sum(1))[name] * self.letter_norm[entry] >= least * whole
+        name, entry = name[near], entry[near]
+        value = (value[near] + (own[name] * self.letter_part[entry]).sum(1)) / whole[near]
+        np.maximum.at(top, name, value)
+        near = value >= least
+        return name[near], entry[near], value[near], top
+
+    def find(self, names: list[str]) -> list[tuple[list[Hit], float]]:
+        """Of each name the two best candidates within the slips, best first, and the highest cosine of all."""
+        out: list[tuple[list[Hit], float]] = []
+        step = max(1, CELLS // max(1, len(self.keys)))
+        for at in range(0, len(names), step):
+            out += self._find(names[at : at + step])
+        return out
+
+    def _find(self, names: list[str]) -> list[tuple[list[Hit], float]]:
+        own = [sound(n) for n in names]
+        name, entry, cosine, top = self.scores(own, THRESHOLD)
+        spaces = np.array([n.count(" ") for n in names], np.int64)
+        near = spaces[name] == self.spaces[entry]  # an extended name is an entry of its own
+        name, entry, cosine = name[near], entry[near], cosine[near]
+        near = within(self.letters[entry], letter_counts(names)[name], SLIPS) | within(self.sound_letters[entry], letter_counts(own)[name], SLIPS)
+        hits: list[list[Hit]] = [[] for _ in names]
+        for i, j, c in zip(name[near].tolist(), entry[near].tolist(), cosine[near].tolist()):
+            slips = min(edits(names[i], self.keys[j], SLIPS), edits(own[i], self.sounds[j], SLIPS))
             if slips <= SLIPS:
-                ranked.append((slips, -float(scores[i]), i))
-        if not ranked:
-            return -1, highest, 0.0
-        ranked.sort()
-        slips, score, i = ranked[0][0], -ranked[0][1], ranked[0][2]
-        if len(ranked) == 1:
-            return i, score, 1.0
-        lead = score + ranked[1][1]
-        if ranked[1][0] == slips and lead < MARGIN:
-            return -1, score, lead
-        return i, score, lead
-
-
-def _lookup(index: Index, texts: list) -> list[tuple[int, float, float]]:
-    """Result of each text; each distinct normalised name is scored once in a worker, as long as it is kept."""
-    cache = index.known
-    out = []
-    seen: dict[str, tuple[int, float, float]] = {}
-    for t in texts:
-        if t is None:
-            out.append((-1, 0.0, 0.0))
-            continue
-        if t not in seen:
-            name = leading_name(t, index.seconds)
-            if name not in cache:
-                if len(cache) >= KEPT:
-                    cache.clear()
-                cache[name] = index.find(name)
-            seen[t] = cache[name]
-        out.append(seen[t])
-    return out
+                hits[i].append((slips, -round(c, 9), self.keys[j], self.ids[j]))
+        return [(sorted(h, key=lambda x: x[:3])[:2], float(t)) for h, t in zip(hits, top)]
+
+
+def accepted(hits: list[Hit], top: float) -> tuple[object, float, float]:
+    """Id of the accepted candidate (None if none), its cosine (the highest one if none), its lead over the runner-up."""
+    if not hits:
+        return None, top, 0.0
+    score = -hits[0][1]
+    if len(hits) == 1:
+        return hits[0][3], score, 1.0
+    lead = score + hits[1][1]
+    if hits[1][0] == hits[0][0] and lead < MARGIN:
+        return None, score, lead
+    return hits[0][3], score, lead
+
+
+def _lookup(index: Index, names: list[str | None]) -> list[tuple[list[Hit], float]]:
+    """Candidates of each name; a name equal to an entry has that one only. Each distinct name is scored once in a worker, as long as it is kept."""
+    new, cache = [], index.known
+    if len(cache) >= KEPT:
+        cache.clear()
+    for n in dict.fromkeys(names):
+        if n is not None and n not in cache:
+            if not n:
+                cache[n] = [], 0.0
+            elif n in index.exact:
+                cache[n] = [(0, -1.0, n, index.exact[n])], 1.0
+            else:
+                new.append(n)
+    cache.update(zip(new, index.find(new)))
+    return [cache[n] if n is not None else ([], 0.0) for n in names]
 
 
 def map_names(df: DataFrame, column: str, entries: DataFrame, entry_id: str = "name_id", entry_key: str = "name_key", prefix: str = "") -> DataFrame:
     """df's columns, then name_id (-1 if the list has no such entry), name_score (cosine) and name_lead.
 
-    Strengths, forms, salts, frequency, bracketed names and marks of a value don't count. Null, empty and unreadable
-    values get -1. Repeated rows are kept. Values are deduplicated within a worker, so no row is moved and frequent
-    values cost nothing more. A list of more than BLOCK_ENTRIES entries is taken in blocks, the best result of all
-    blocks kept. Entries with a null key or id are left out; equal keys go to the least id. Existing columns of the
-    new names are a ValueError.
+    Strengths, forms, salts, frequency, bracketed names and marks of a value don't count, unless an entry has them as it
+    stands. Null, empty and unreadable values get -1. Repeated rows are kept. Values are deduplicated within a worker, so
+    no row is moved and frequent values cost nothing more. A list of more than BLOCK_ENTRIES entries is taken in blocks
+    of that size; the result is that of one block. Entries with a null key or id are left out; equal keys go to the least
+    id. Existing columns of the new names are a ValueError.
     """
     spark = df.sparkSession
     new = [prefix + x for x in ("name_id", "name_score", "name_lead")]
@@ -231,21 +324,39 @@ def map_names(df: DataFrame, column: str, entries: DataFrame, entry_id: str = "n
     parts = max(1, -(-count // BLOCK_ENTRIES))
     names = df.columns
     n, at = len(names), names.index(column)
-    out = df.select(*columns(names), F.lit(-1).cast(kind).alias(new[0]), F.lit(0.0).alias(new[1]), F.lit(0.0).alias(new[2]))
-    schema, id_type = spec(df, f"{quoted(new[0])} {kind.simpleString()}, {quoted(new[1])} double, {quoted(new[2])} double"), arrow_type(kind)
-    for part in range(parts):
-        block = (listed.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part) if parts > 1 else listed).toArrow()
-        sent = spark.sparkContext.broadcast(Index(block.column(0).to_pylist(), block.column(1).to_pylist()))
-
-        def find(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                index = sent.value
-                old = zip(*(batch.column(n + i).to_pylist() for i in range(3)))
-                found = []
-                for (i, score, lead), before in zip(_lookup(index, batch.column(at).cast(pa.string()).to_pylist()), old):
-                    better = i >= 0 and (before[0] == -1 or score > before[1])
-                    found.append((index.ids[i], score, lead) if better else before if before[0] != -1 else (-1, max(score, before[1]), 0.0))
-                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array([x[0] for x in found], id_type), pa.array([x[1] for x in found], pa.float64()), pa.array([x[2] for x in found], pa.float64())], [*names, *new])
-
-        out = out.mapInArrow(find, schema)
-    return out
+    id_type, schema = arrow_type(kind), spec(df, f"{quoted(new[0])} {kind.simpleString()}, {quoted(new[1])} double, {quoted(new[2])} double")
+
+    def block(part: int) -> tuple[list, list[str]]:
+        found = (listed.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == part) if parts > 1 else listed).toArrow()
+        return found.column(0).to_pylist(), found.column(1).to_pylist()
+
+    weights, every = Weights(), []
+    for part in range(parts):  # what the whole list says: bounded by its n-grams and words
+        keys = [k for k in dict.fromkeys(block(part)[1]) if k]
+        weights.add(keys)
+        every.append(Words(keys))
+    words = every[0]
+    for other in every[1:]:
+        words.whole |= other.whole
+        words.longest, words.later = max(words.longest, other.longest), words.later | other.later
+    sent = [spark.sparkContext.broadcast((words, Index(*block(part), weights))) for part in range(parts)]
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(at).cast(pa.string()).to_pylist()
+            words = sent[0].value[0]
+            leading = {t: words.leading(t) for t in dict.fromkeys(texts) if t is not None}
+            typed = [None if t is None else leading[t] for t in texts]
+            distinct = list(dict.fromkeys(typed))
+            found: dict = {x: ([], 0.0) for x in distinct}
+            for b in sent:
+                for x, (hits, top) in zip(distinct, _lookup(b.value[1], distinct)):
+                    found[x] = sorted([*found[x][0], *hits], key=lambda h: h[:3])[:2] if hits else found[x][0], max(found[x][1], top)
+            settled = {}
+            for x, (hits, top) in found.items():
+                one = hits[:1] if hits and hits[0][:2] == (0, -1.0) else hits  # an equal entry has no rival
+                settled[x] = accepted(one, top)
+            rows = [settled[x] for x in typed]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([-1 if r[0] is None else r[0] for r in rows], id_type), pa.array([r[1] for r in rows], pa.float64()), pa.array([r[2] for r in rows], pa.float64())], [*names, *new])
+
+    return df.mapInArrow(find, schema)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from doseloom.llm.labels import day_of, ingredient_key, label_survivors, newest_labels, version_of
 from doseloom.llm.leaks import find_leaks, remove_leaks
 from doseloom.llm.mixing import mix
-from doseloom.llm.names import Index, edits, leading_name, map_names
+from doseloom.llm.names import THRESHOLD, Index, Words, accepted, edits, grams, letter_counts, map_names, sound
 from doseloom.llm.pieces import cut_texts
 from doseloom.llm.sentences import split_sentences
 from doseloom.llm.survivors import Field, align, consensus, profile, survivors
@@ -106,18 +106,45 @@ def test_split_sentences(spark):
 
 
 def test_leading_names():
-    seconds = frozenset({"forte", "plus"})
-    assert leading_name("20 mg Acmené® (Other) tabs b.i.d.", seconds) == "acmene"
-    assert leading_name("Rx: ACMEN forte 5mg daily", seconds) == "acmen forte" and leading_name("??? 5 mg", seconds) == ""
+    words = Words(["acmen", "acmen forte", "acmen plus", "potassium chloride", "sodium", "st john wort", "insulin glargine recombinant"])
+    assert words.leading("20 mg Acmené® (Other) tabs b.i.d.") == "acmene"
+    assert words.leading("Rx: ACMEN forte 5mg daily") == "acmen forte" and words.leading("acmen fotre 5 mg") == "acmen fotre" and words.leading("??? 5 mg") == ""
+    for own in ("potassium chloride", "sodium", "st john wort", "insulin glargine recombinant"):
+        assert words.leading(own) == words.leading(f"{own} 20 mg tablets daily") == own
     assert edits("abcd", "abdc", 2) == 1 and edits("abc", "abcdef", 2) == 3
 
 
+def best(index, name):
+    return accepted(*index.find([name])[0])[0]
+
+
 def test_index_against_brute_force():
     keys = ["trazodone", "trazodone forte", "metformin", "metformax", "lisinopril"]
-    index = Index(list(range(5)), keys)
-    for typed, want in [("trazodne", 0), ("trazodone frote", 1), ("metformni", 2), ("lysinopryl", 4), ("aspirin", -1), ("", -1)]:
-        at = index.find(leading_name(typed, index.seconds))[0]
-        assert (index.ids[at] if at >= 0 else -1) == want, typed
+    index, words = Index(list(range(5)), keys), Words(keys)
+    for typed, want in [("trazodne", 0), ("trazodone frote", 1), ("metformni", 2), ("lysinopryl", 4), ("aspirin", None), ("", None)]:
+        assert best(index, words.leading(typed)) == want, typed
+
+
+def test_cosines_by_hand():
+    """Sums over the inverted lists, dense and sparse, equal the cosine of the two weighted bags."""
+    keys = ["abcde", "abcxy", "zzq", "abc"]
+    index = Index(list(range(4)), keys)
+
+    def vector(name):
+        bag = {g: c * index.weights.of(g) for g, c in grams(name).items()}
+        return bag | {i: c * index.letter_weights[i] for i, c in enumerate(letter_counts([name])[0]) if c}
+
+    def cosine(a, b):
+        x, y = vector(a), vector(b)
+        return sum(w * y.get(g, 0) for g, w in x.items()) / (sum(w * w for w in x.values()) * sum(w * w for w in y.values())) ** 0.5
+
+    for names in (["abcdf"], ["zzz"], ["abcdf", "abq", "qqq", "zz"]):
+        name, entry, value, top = index.scores(names)
+        assert top.tolist() == pytest.approx([max(value[name == i], default=0) for i in range(len(names))])
+        for i, j, v in zip(name, entry, value):
+            assert v == pytest.approx(cosine(names[i], index.sounds[j]))
+    many = Index(list(range(400)), [*keys, *(f"{a}{b}{c}w" for a in "klmnop" for b in "rstuvx" for c in "ghijkmnopqr")][:400])
+    assert {(i, j): pytest.approx(v) for i, j, v in zip(*many.scores(["abcdf"])[:3])} == {(0, j): v for i, j, v in zip(*many.scores(["zz", "abcdf"])[:3]) if i == 1}
 
 
 def test_entry_behind_many_more_alike():
@@ -125,10 +152,24 @@ def test_entry_behind_many_more_alike():
     others = [a + b + c + d + e for a in "bghj" for b in "aeou" for c in "klmst" for d in "aeou" for e in "xz"]
     keys = ["doprina", *(a + b + "efprnia" for a in "bghjt" for b in "klm"), *others]
     index = Index(list(range(len(keys))), keys)
-    typed = "dfprnia"
-    cosines = index.cosines(typed)
-    assert (cosines > cosines[index.keys.index("doprina")]).sum() >= 12
-    assert index.ids[index.find(typed)[0]] == 0
+    _, entry, cosine, _ = index.scores([sound("dfprnia")])
+    own = cosine[entry == index.keys.index("doprina")][0]
+    assert (cosine > own).sum() >= 12 and own >= THRESHOLD and best(index, "dfprnia") == 0
+
+
+def test_blocks_do_not_change_results(spark, monkeypatch):
+    """A near tie is refused and a sister brand is found, whichever blocks the entries lie in."""
+    import doseloom.llm.names as module
+
+    keys = ["lisinopril", "lisinapril", "acmen", "acmen forte", "abcdef", "abcdeg", "potassium chloride"]
+    names = spark.createDataFrame(list(enumerate(keys)), "name_id long, name_key string")
+    typed = ["lisinipril", "lisinoprol", "acmen frote", "acmen", "abcdeh", "abcdee", "Potassium Chloride 20 mEq", "zzzz", None]
+    df = spark.createDataFrame(list(enumerate(typed)), "id int, v string")
+    want = {r.id: (r.name_id, round(r.name_score, 6)) for r in map_names(df, "v", names).collect()}
+    assert want[0][0] == -1 and [want[i][0] for i in (1, 2, 3, 6, 7, 8)] == [0, 3, 2, 6, -1, -1]
+    for size in (1, 2, 3):
+        monkeypatch.setattr(module, "BLOCK_ENTRIES", size)
+        assert {r.id: (r.name_id, round(r.name_score, 6)) for r in map_names(df, "v", names).collect()} == want
 
 
 def test_map_names(spark, monkeypatch):
