@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -26,7 +25,7 @@ THRESHOLD, SLIPS, MARGIN = 0.2, 2, 0.02
 #: Entries of the list that go to the workers at once; a longer list is taken in blocks.
 BLOCK_ENTRIES = 200_000
 #: Normalised names whose result a worker keeps; (name, entry) sums that are added up at once.
-KEPT, CELLS = 1 << 18, 1 << 20
+KEPT, CELLS = 1 << 18, 1 << 17
 #: Words around a name that are none: forms, salts, routes, frequency, units, marks.
 NOISE = frozenset("""
     tab tabs tablet tablets cap caps capsule capsules injection inj oral solution soln suspension syrup cream ointment gel patch
@@ -55,6 +54,11 @@ def words_of(text: str) -> list[str]:
     return _WORD.findall(letters(_BRACKETS.sub(" ", text)))
 
 
+def normal(text: str) -> str:
+    """The words of an entry."""
+    return " ".join(_WORD.findall(letters(text)))
+
+
 class Words:
     """What the entries of the whole list say about their words: entries of several words, and words that may go on a name."""
 
@@ -100,14 +104,17 @@ def sound(name: str) -> str:
     return re.sub(r"(.)\1+", r"\1", name)
 
 
-def grams(name: str) -> Counter:
-    """Pairs of letters, side by side and with one between, with marks at the ends of words."""
-    out: Counter = Counter()
-    for word in name.split():
-        w = f"^{word}$"
-        out.update(w[i : i + 2] for i in range(len(w) - 1))
-        out.update(f"{a}_{b}" for a, b in zip(w, w[2:]))
-    return out
+def grams(names: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Name and code of every pair of letters, side by side and with one between, with marks at the ends of words."""
+    marked = [f"^{n.replace(' ', '$^')}$" for n in names]
+    cp = np.frombuffer("".join(marked).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    name = np.repeat(np.arange(len(names)), [len(m) for m in marked])
+    end = cp == ord("$")
+    pair = np.flatnonzero(~end)
+    skip = pair[~end[np.minimum(pair + 1, len(cp) - 1)]]
+    side = cp[pair] << np.uint64(32) | cp[np.minimum(pair + 1, len(cp) - 1)] << np.uint64(1)
+    far = cp[skip] << np.uint64(32) | cp[skip + 2] << np.uint64(1) | np.uint64(1)
+    return np.concatenate((name[pair], name[skip])), np.concatenate((side, far))
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -158,21 +165,35 @@ class Weights:
     """How rare each n-gram and letter is in the entries of the whole list."""
 
     def __init__(self):
-        self.n, self.grams, self.letters = 0, Counter(), np.zeros(32)
+        self.n, self.codes, self.counts, self.letters = 0, np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(32)
 
     def add(self, keys: list[str]) -> None:
-        sounds = [sound(letters(k)) for k in keys]
+        sounds = [sound(k) for k in keys]
         self.n += len(sounds)
-        for name in sounds:
-            self.grams.update(grams(name).keys())
+        name, code = grams(sounds)
+        once = np.unique(np.stack((name.astype(np.uint64), code)), axis=1)[1] if len(code) else code
+        self.codes, back = np.unique(np.concatenate((self.codes, once)), return_inverse=True)
+        self.counts = np.bincount(back, np.concatenate((self.counts, np.ones(len(once))))).astype(np.int64)
         self.letters += (letter_counts(sounds) > 0).sum(0)
 
-    def of(self, gram: str) -> float:
-        return float(np.log(1 + self.n / max(1, self.grams.get(gram, 1))))
+    def of(self, code: np.ndarray) -> np.ndarray:
+        """Weights of n-grams; those of no entry weigh like those of one."""
+        if not len(self.codes):
+            return np.zeros(len(code))
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.log(1 + self.n / np.where(self.codes[at] == code, self.counts[at], 1))
 
     def of_letters(self) -> np.ndarray:
         return np.log(1 + self.n / np.maximum(1, self.letters))
 
+    def bags(self, sounds: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Name, code and weight of each name's different n-grams, in order of name."""
+        name, code = grams(sounds)
+        order = np.lexsort((code, name))
+        name, code = name[order], code[order]
+        first = np.flatnonzero(np.concatenate(([True], (name[1:] != name[:-1]) | (code[1:] != code[:-1])))) if len(name) else np.zeros(0, np.int64)
+        return name[first], code[first], np.diff(first, append=len(name)) * self.of(code[first])
+
 
 #: Slips, cosine (negative, so that less is better), key and id of a candidate.
 Hit = tuple[int, float, str, object]
@@ -182,58 +203,42 @@ class Index:
     """Inverted index of the n-grams of a block of entries."""
 
     def __init__(self, ids: list, keys: list[str], weights: Weights | None = None):
-        if weights is None:
-            weights = Weights()
-            weights.add([r for r in dict.fromkeys(keys) if r])
         least: dict[str, object] = {}
-        for key, i in sorted({(letters(k), i) for i, k in zip(ids, keys) if k}):
+        for key, i in sorted({(normal(k), i) for i, k in zip(ids, keys) if normal(k)}):
             least.setdefault(key, i)  # equal keys go to the least id
-        self.keys, self.ids = list(least), list(least.values())
-        self.exact = least
+        self.keys, self.ids, self.exact = list(least), list(least.values()), least
+        if weights is None:
+            weights = Weights()
+            weights.add(self.keys)
+        self.weights, self.letter_weights = weights, weights.of_letters()
         self.sounds = [sound(k) for k in self.keys]
         self.spaces = np.array([k.count(" ") for k in self.keys], np.int64)
         self.letters, self.sound_letters = letter_counts(self.keys), letter_counts(self.sounds)
-        self.letter_weights = weights.of_letters()
-        bags = [grams(k) for k in self.sounds]
-        self.weight = {g: weights.of(g) for b in bags for g in b}
-        self.rare = float(np.log(1 + weights.n))
         self.letter_part = self.sound_letters * self.letter_weights
         self.letter_norm = np.sqrt((self.letter_part**2).sum(1))
-        squares = np.array([sum((c * self.weight[g]) ** 2 for g, c in b.items()) for b in bags]) + self.letter_norm**2
-        self.norm = np.sqrt(np.maximum(squares, 1e-12))
-        lists: dict[str, tuple[list[int], list[float]]] = {}
-        for i, b in enumerate(bags):
-            for g, c in b.items():
-                at, w = lists.setdefault(g, ([], []))
-                at.append(i)
-                w.append(c * self.weight[g])
-        self.lists = {g: (np.array(a), np.array(w)) for g, (a, w) in lists.items()}
-        self.weights = weights
+        entry, code, weight = weights.bags(self.sounds)
+        self.norm = np.sqrt(np.maximum(np.bincount(entry, weight**2, len(self.keys)) + self.letter_norm**2, 1e-12))
+        order = np.argsort(code, kind="stable")
+        self.codes, first = np.unique(code[order], return_index=True)
+        self.at, self.entry, self.weight = np.append(first, len(code)), entry[order], weight[order]
         self.known: dict[str, tuple[list[Hit], float]] = {}
 
     def scores(self, names: list[str], least: float = 0.0) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Name, entry and cosine of every pair that shares an n-gram and reaches `least`, and the highest cosine of each name's pairs that may reach it; names as they sound."""
-        size = len(self.keys)
-        what, add, who, many, squares = [], [], [], [], np.zeros(len(names))
-        for i, name in enumerate(names):
-            total = 0.0
-            for g, c in grams(name).items():
-                found = self.lists.get(g)
-                w = c * (self.weight[g] if found is not None else self.weights.of(g))
-                total += w * w
-                if found is not None:
-                    what.append(found[0])
-                    add.append(found[1] * w)
-                    who.append(i)
-                    many.append(len(found[0]))
-            squares[i] = total
+        size, top = len(self.keys), np.zeros(len(names))
+        who, code, weight = self.weights.bags(names)
         own = letter_counts(names) * self.letter_weights
-        length = np.sqrt(np.maximum(squares + (own**2).sum(1), 1e-12))
-        top = np.zeros(len(names))
-        if not what:
+        length = np.sqrt(np.maximum(np.bincount(who, weight**2, len(names)) + (own**2).sum(1), 1e-12))
+        slot = np.searchsorted(self.codes, code)
+        there = np.flatnonzero(slot < len(self.codes))
+        there = there[self.codes[slot[there]] == code[there]]
+        if not len(there):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), top
-        pair = np.repeat(np.array(who, np.int64) * size, many) + np.concatenate(what)
-        value = np.concatenate(add)
+        begin = self.at[slot[there]]
+        many = self.at[slot[there] + 1] - begin
+        places = np.arange(many.sum()) + np.repeat(begin - np.cumsum(many) + many, many)
+        pair = np.repeat(who[there] * size, many) + self.entry[places]
+        value = np.repeat(weight[there], many) * self.weight[places]
         if len(names) * size <= 16 * len(pair):
             dense = np.bincount(pair, value, len(names) * size)
             pair = np.flatnonzero(dense)
@@ -332,7 +337,7 @@ def map_names(df: DataFrame, column: str, entries: DataFrame, entry_id: str = "n
 
     weights, every = Weights(), []
     for part in range(parts):  # what the whole list says: bounded by its n-grams and words
-        keys = [k for k in dict.fromkeys(block(part)[1]) if k]
+        keys = [k for k in dict.fromkeys(map(normal, block(part)[1])) if k]
         weights.add(keys)
         every.append(Words(keys))
     words = every[0]

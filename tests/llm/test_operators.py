@@ -1,3 +1,6 @@
+from collections import Counter
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,13 +134,15 @@ def test_cosines_by_hand():
     index = Index(list(range(4)), keys)
 
     def vector(name):
-        bag = {g: c * index.weights.of(g) for g, c in grams(name).items()}
-        return bag | {i: c * index.letter_weights[i] for i, c in enumerate(letter_counts([name])[0]) if c}
+        bag = {g: c * index.weights.of(np.array([g], np.uint64))[0] for g, c in Counter(grams([name])[1].tolist()).items()}
+        return bag | {-1 - i: c * index.letter_weights[i] for i, c in enumerate(letter_counts([name])[0]) if c}
 
     def cosine(a, b):
         x, y = vector(a), vector(b)
         return sum(w * y.get(g, 0) for g, w in x.items()) / (sum(w * w for w in x.values()) * sum(w * w for w in y.values())) ** 0.5
 
+    letter_pairs = lambda name: {w[i : i + 2] for w in [f"^{name}$"] for i in range(len(w) - 1)} | {f"{w[i]}_{w[i + 2]}" for w in [f"^{name}$"] for i in range(len(w) - 2)}
+    assert [len(set(grams([n])[1].tolist())) for n in ("abcab", "a", "ab ab")] == [len(letter_pairs("abcab")), len(letter_pairs("a")), len(letter_pairs("ab"))]
     for names in (["abcdf"], ["zzz"], ["abcdf", "abq", "qqq", "zz"]):
         name, entry, value, top = index.scores(names)
         assert top.tolist() == pytest.approx([max(value[name == i], default=0) for i in range(len(names))])
