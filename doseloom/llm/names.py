@@ -273,25 +273,30 @@ class Index:
         near = spaces[name] == self.spaces[entry]  # an extended name is an entry of its own
         name, entry, cosine = name[near], entry[near], cosine[near]
         near = within(self.letters[entry], letter_counts(names)[name], SLIPS) | within(self.sound_letters[entry], letter_counts(own)[name], SLIPS)
+        name, entry, cosine = name[near], entry[near], cosine[near]
+        order = np.lexsort((-cosine, name))
         hits: list[list[Hit]] = [[] for _ in names]
-        for i, j, c in zip(name[near].tolist(), entry[near].tolist(), cosine[near].tolist()):
-            slips = min(edits(names[i], self.keys[j], SLIPS), edits(own[i], self.sounds[j], SLIPS))
-            if slips <= SLIPS:
+        fewest = [SLIPS] * len(names)
+        for i, j, c in zip(name[order].tolist(), entry[order].tolist(), cosine[order].tolist()):
+            most = fewest[i]  # a candidate with more slips than another is neither the best nor its rival
+            slips = edits(names[i], self.keys[j], most)
+            if slips:
+                slips = min(slips, edits(own[i], self.sounds[j], min(slips, most)))
+            if slips <= most:
                 hits[i].append((slips, -round(c, 9), self.keys[j], self.ids[j]))
+                fewest[i] = slips
         return [(sorted(h, key=lambda x: x[:3])[:2], float(t)) for h, t in zip(hits, top)]
 
 
 def accepted(hits: list[Hit], top: float) -> tuple[object, float, float]:
-    """Id of the accepted candidate (None if none), its cosine (the highest one if none), its lead over the runner-up."""
+    """Id of the accepted candidate (None if none), its cosine (the highest one if none), its lead over a runner-up of equal slips (1 without one)."""
     if not hits:
         return None, top, 0.0
     score = -hits[0][1]
-    if len(hits) == 1:
+    if len(hits) == 1 or hits[1][0] > hits[0][0]:
         return hits[0][3], score, 1.0
     lead = score + hits[1][1]
-    if hits[1][0] == hits[0][0] and lead < MARGIN:
-        return None, score, lead
-    return hits[0][3], score, lead
+    return (hits[0][3] if lead >= MARGIN else None), score, lead
 
 
 def _lookup(index: Index, names: list[str | None]) -> list[tuple[list[Hit], float]]:
