@@ -104,9 +104,7 @@ class Held:
         self.least = [least_windows(len(h), self.size) for h in self.words]
         all_keys, items, poss = [], [], []
         for i, h in enumerate(self.words):
-            w = windows(h, min(self.size, len(h)) if len(h) else self.size)
-            if len(h) < self.size:  # shorter than a window: not searched for
-                w = w[:0]
+            w = windows(h, self.size)
             all_keys.append(w)
             items.append(np.full(len(w), i))
             poss.append(np.arange(len(w)))
@@ -120,20 +118,25 @@ class Held:
         return self
 
 
-def held_out(table: pa.Table, size: int = WINDOW) -> tuple[Held, Held]:
-    """The held-out texts with spaces between words, and those without. Columns: id, text."""
-    out = Held([], False, size), Held([], True, size)
+def held_out(table: pa.Table, size: int = WINDOW) -> tuple[Held, ...]:
+    """The held-out texts with spaces between words, and those without, by the size of their windows: texts shorter than a
+    window are one as a whole. Columns: id, text. Texts without any word are in none."""
+    out: dict[tuple[bool, int], Held] = {}
     ids = table.column(0).to_pylist()
     for block in blocks(table.column(1)):
         dense = cjk(block.cp)
         plain, chars = words(block, False), words(block, True)
         for r in range(block.rows):
             own = dense[block.starts[r] : block.starts[r + 1]]
-            by_char = int(own.sum() * 4 > len(own))
+            by_char = bool(own.sum() * 4 > len(own))
             w = chars if by_char else plain
-            out[by_char].ids.append(ids[block.first_row + r])
-            out[by_char].words.append(w.hash[w.row_at[r] : w.row_at[r + 1]])
-    return out[0].build(), out[1].build()
+            h = w.hash[w.row_at[r] : w.row_at[r + 1]]
+            if not len(h):
+                continue
+            held = out.setdefault((by_char, min(size, len(h))), Held([], by_char, min(size, len(h))))
+            held.ids.append(ids[block.first_row + r])
+            held.words.append(h)
+    return tuple(out[k].build() for k in sorted(out))
 
 
 def distance(a: np.ndarray, b: np.ndarray, most: int) -> int:
@@ -253,7 +256,7 @@ def _chains(item: np.ndarray, text: np.ndarray, runs: list[tuple[int, int, int]]
     return out
 
 
-def scan(column: pa.Array, sets: tuple[Held, Held]) -> Iterator[tuple[int, int, int, int, int, int, Held]]:
+def scan(column: pa.Array, sets: tuple[Held, ...]) -> Iterator[tuple[int, int, int, int, int, int, Held]]:
     """Row, item, first and last character (exclusive), words of the item and edits of each passage found in a column."""
     for block in blocks(column):
         for held in sets:
@@ -328,8 +331,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
 
     Columns: item_id, doc_id, start_char, end_char, item_words (length of the longest passage), edits.
     Words (in ja and zh characters) are compared without case, accents, punctuation and white space; one
-    in eight may differ, at the ends of the passage too. Items shorter than a window of five words give no rows; null texts and ids
-    neither, nor does a passage without five equal words in a row (only one under ten words can be so). Repeated documents and items give a pair once. Every window of every text is looked at. Held-out
+    in eight may differ, at the ends of the passage too. Items shorter than a window of five words are found where they stand whole; null texts and ids
+    give no rows, nor do items without any word (see unsearchable) or a passage without five equal words in a row (only one under ten words can be so). Repeated documents and items give a pair once. Every window of every text is looked at. Held-out
     sets of more than SET_CHARS characters are taken in blocks, one scan of the corpus each.
     """
     spark = docs.sparkSession
@@ -355,6 +358,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     return out.groupBy("item_id", "doc_id").agg(best.alias("b")).select("item_id", "doc_id", "b.*")
 
 
+def unsearchable(items: DataFrame, item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """item_id and reason ('null id', 'null text', 'no word') of the held-out texts that can't be searched for."""
+    i, t = F.col(f"`{item_id}`"), F.col(f"`{item_text}`").cast("string")
+    reason = F.when(i.isNull(), "null id").when(t.isNull(), "null text").when(~t.rlike(r"[\p{L}\p{N}]"), "no word")
+    return items.select(i.alias("item_id"), reason.alias("reason")).where("reason is not null").distinct()
+
+
 def remove_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", how: str = "spans", size: int = WINDOW) -> DataFrame:
     """docs without leaked passages: how='spans' cuts them out of the text (one blank each), 'documents' drops every text that holds one.
 

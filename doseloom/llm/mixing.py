@@ -69,15 +69,16 @@ def mix(docs: DataFrame, targets: DataFrame, doc_id: str = "doc_id", text: str =
         source = F.when(F.col("u") < edge, name).otherwise(source)
     taken = spark.range(1, slots + 1).select(F.col("id").alias("slot")).withColumn("u", point).withColumn("source", source).withColumn("chunk", F.floor(F.col("slot") / SLOT_CHUNK)).drop("u")
     before = taken.groupBy("source", "chunk").agg(F.count("*").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    ranked = taken.join(before, ["source", "chunk"]).withColumn("block", F.col("offset") + F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1).select("source", "block", "slot")
+    ranked = taken.join(before.hint("merge"), ["source", "chunk"]).withColumn("block", F.col("offset") + F.row_number().over(Window.partitionBy("source", "chunk").orderBy("slot")) - 1).select("source", "block", "slot")
+    # (the tables of slots and offsets grow with the corpus: they are merged, never sent to every task)
     # documents: place in the shuffled order of their source, by bucket and within it
     buckets = max(16, -(-total // BUCKET_TOKENS))
     mine = sized.where(F.col("source").isin([r[0] for r in wanted]) if wanted else F.lit(False)).withColumn("bucket", F.pmod("h", F.lit(buckets)))
     ahead = mine.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n")).withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    placed = mine.join(ahead, ["source", "bucket"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    placed = mine.join(ahead.hint("merge"), ["source", "bucket"]).withColumn("start", F.col("offset") + F.coalesce(F.sum("n_tokens").over(Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     own = facts.select("source", "max_repeats", "supply_tokens", F.least("max_repeats", F.ceil((F.col("target_tokens") + 2 * block_tokens) / F.greatest("supply_tokens", F.lit(1)))).cast("long").alias("passes"))
     again = placed.join(F.broadcast(own), "source").withColumn("repeat", F.explode(F.expr("sequence(0L, greatest(passes, 1L) - 1L)"))).withColumn("from", F.col("start") + F.col("repeat") * F.col("supply_tokens")).withColumn("block", F.floor(F.col("from") / block_tokens))
-    rows = again.join(ranked, ["source", "block"]).select("doc_id", "source", (F.col("repeat") + 1).cast("int").alias("repeat_no"), "slot", (F.col("from") % block_tokens).cast("int").alias("place"), "n_tokens")
+    rows = again.join(ranked.hint("merge"), ["source", "block"]).select("doc_id", "source", (F.col("repeat") + 1).cast("int").alias("repeat_no"), "slot", (F.col("from") % block_tokens).cast("int").alias("place"), "n_tokens")
     reached = rows.groupBy("source").agg(F.sum("n_tokens").alias("placed_tokens"), F.max("repeat_no").alias("repeats"))
     report = facts.join(reached, "source", "left").na.fill(0, ["placed_tokens", "repeats"])
     report = report.select("*", (F.col("placed_tokens") / F.sum("placed_tokens").over(Window.partitionBy(F.lit(1)))).alias("reached_share"), (F.col("supply_tokens") * F.col("max_repeats") < F.col("target_tokens")).alias("short"))

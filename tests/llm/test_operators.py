@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from doseloom.llm.labels import day_of, ingredient_key, label_survivors, newest_labels, version_of
-from doseloom.llm.leaks import find_leaks, remove_leaks
+from doseloom.llm.leaks import find_leaks, remove_leaks, unsearchable
 from doseloom.llm.mixing import mix
 from doseloom.llm.names import THRESHOLD, Index, Words, accepted, edits, grams, letter_counts, map_names, sound
 from doseloom.llm.pieces import cut_texts
@@ -220,6 +220,13 @@ def test_leaks_with_changes_near_the_ends(spark):
     assert leaks(spark, part(21, 2), part(21, 18), part(22, 3, 17), part(24, 6, 12, 18), part(18, 2), part(24, 4, 9, 14, 19), item=" ".join(item)) == {0, 1, 2, 3}
 
 
+def test_short_items_are_found_whole(spark):
+    docs = spark.createDataFrame([(1, "keep Away, from heat!"), (2, "away from"), (3, "heat"), (4, "遠ざける")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "away from heat"), (2, "HEAT"), (3, "遠ざける"), (4, " - "), (5, None), (None, "x")], "item_id long, text string")
+    assert sorted((r.item_id, r.doc_id) for r in find_leaks(docs, items).collect()) == [(1, 1), (2, 1), (2, 3), (3, 4)]
+    assert sorted((r.item_id or 0, r.reason) for r in unsearchable(items).collect()) == [(0, "null id"), (4, "no word"), (5, "null text")]
+
+
 def test_leaks_in_scripts_without_spaces(spark):
     item = "再採点の後、単独の誘導薬が別成分を指し、廃止頁の注が間隔を定めていない。鍵を開く"
     assert leaks(spark, f"前置き。{item}後", "再採点の後、関係のない文が続く長い文章", item=item) == {0}
@@ -305,3 +312,15 @@ def test_cut_texts(spark):
     with pytest.raises(ValueError):
         cut_texts(df, limit=10, overlap=6)
     assert {r.n_tokens for r in count_tokens(df).where("doc_id = 4").collect()} == {len(encoding().encode_ordinary("short"))}
+
+
+def test_cuts_against_every_word(spark):
+    """Prose, a text without sentences and lists: the boundaries that are looked at hold the best of all words."""
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randint(2, 7)))
+    prose = " ".join(" ".join(word() for _ in range(rng.randint(4, 14))).capitalize() + "." for _ in range(120))
+    rows = [(1, prose), (2, " ".join(word() for _ in range(900))), (3, "\n".join(f"- {word()} {word()}" for _ in range(300))), (4, prose[:2500] + " ".join(word() for _ in range(400)) + prose)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(str, cut_texts(df).collect())) == sorted(map(str, cut_texts(df, exact=True).collect()))
