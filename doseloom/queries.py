@@ -30,7 +30,7 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     rows, amounts = read(spark, folder, "medication_row"), read(spark, folder, "entry_amount")
     totals = daily_totals(rows).where("unit_from in ('unit', 'text')").select(F.lit("medication_row").alias("tbl"), F.col("med_id").alias("row_id"), "dim", "milli_per_day")
-    parts = ingredient_amounts(amounts, rows).select(F.lit("entry_amount").alias("tbl"), F.col("amount_id").alias("row_id"), "dim", "milli_per_day")
+    parts = ingredient_amounts(amounts, rows).where("unit_from in ('unit', 'text') and period_from in ('unit', 'column')").select(F.lit("entry_amount").alias("tbl"), F.col("amount_id").alias("row_id"), "dim", "milli_per_day")
     return totals.unionByName(parts).where("milli_per_day is not null and dim is not null")
 
 
