@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import units
-from .operators.nested import flatten_block
+from .operators.nested import EVERY, nested_tables
 from .operators.packed import unpack_values
 from .plans.dosing import daily_totals, ingredient_amounts
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Lists within the fields of objects of a raw label.
-LABEL_LISTS = {"components": ["strengths"], "adverse_reactions_table": ["rows", "cells"]}
+#: Fields of a raw label's blocks that are lists even where a single value stands: all, and lists within them.
+LABEL_LISTS = {EVERY, "components[].strengths", "adverse_reactions_table[].rows", "adverse_reactions_table[].rows[].cells"}
+#: The lists whose elements are the innermost values, other than lists of texts.
+INNERMOST = ("components[].strengths[]", "adverse_reactions_table[].rows[].cells[]")
 
 
 def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -34,9 +36,27 @@ def p5_found(spark: SparkSession, folder: str) -> DataFrame:
     return totals.unionByName(parts).where("milli_per_day is not null and dim is not null")
 
 
+def label_values(labels: DataFrame, block: str, with_values: bool, keys: list[str], once: bool = True) -> DataFrame:
+    """Innermost values of a block of raw labels: keys, field, pos, row_pos, cell_pos, and value (text of a plain value or of an object around it) or not.
+
+    Fields list texts, but for INNERMOST; an object around a text counts as the text, and a text in the place of such a
+    list's object too. Blank texts are left out. With once, rows that agree in the keys are one record.
+    """
+    last = F.map_keys(F.map_filter("values", lambda _, v: F.trim(v) != "")) if with_values else F.col("filled")
+    rows = nested_tables(labels.select(*keys, block), block, block, LABEL_LISTS, with_values, keys if once else None)
+    depth, place = F.size("places"), lambda i: F.coalesce(F.get("places", F.lit(i)), F.lit(0))
+    field = F.regexp_extract("table", r"^([^\[.]+|`[^`]*`)\[\]", 1)
+    deep = field.isin([x.split("[")[0] for x in INNERMOST])
+    text = F.exists(last, lambda n: n.rlike(r"^(text(\.text)*)?$"))
+    listed = (depth == 1) & F.when(deep, text).otherwise(F.size(last) > 0)
+    inner = F.col("table").isin(list(INNERMOST)) & (~F.col("is_value") | (F.size(last) > 0))
+    value = F.coalesce(*[F.try_element_at("values", F.lit(".".join(["text"] * i))) for i in range(4)]) if with_values else None
+    return rows.where(listed | inner).select(*keys, F.regexp_replace(field, "`", "").alias("field"), *[place(i).alias(n) for i, n in enumerate(("pos", "row_pos", "cell_pos"))], *([value.alias("value")] if with_values else []))
+
+
 def p6_found(spark: SparkSession, folder: str) -> DataFrame:
     labels = read(spark, folder, "raw_label")
-    blocks = [flatten_block(labels.select("rec_id", F.lit(b).alias("block"), b), b, b, LABEL_LISTS, with_value=False, keys=["rec_id"]) for b in ("openfda", "text_fields")]
+    blocks = [label_values(labels, b, False, ["rec_id"]).select("rec_id", F.lit(b).alias("block"), "field", "pos", "row_pos", "cell_pos") for b in ("openfda", "text_fields")]
     return blocks[0].unionByName(blocks[1])
 
 
