@@ -7,8 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.nested import flatten_block
-from ..queries import LABEL_LISTS
+from ..queries import label_values
 from .labels import label_survivors, newest_labels
 from .leaks import find_leaks
 from .mixing import mix
@@ -34,7 +33,7 @@ def p2_survivors(spark: SparkSession, folder: str) -> DataFrame:
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     out = ["tbl", "row_id", "field", "pos", "sent_no", "start_char", "end_char"]
     documents = _read(spark, folder, "documents").select(F.lit("documents").alias("tbl"), F.col("doc_id").alias("row_id"), F.lit("text").alias("field"), F.lit(1).alias("pos"), "text")
-    sections = flatten_block(_read(spark, folder, "raw_label").select(F.col("rec_id").alias("row_id"), "text_fields"), "text_fields", "text_fields", LABEL_LISTS)
+    sections = label_values(_read(spark, folder, "raw_label").withColumnRenamed("rec_id", "row_id"), "text_fields", True, ["row_id"], once=False)
     sections = sections.where("field <> 'adverse_reactions_table' and row_pos = 0").select(F.lit("raw_label").alias("tbl"), "row_id", "field", F.col("pos").cast("int"), F.col("value").alias("text"))
     evidence = _read(spark, folder, "tag_evidence").where("field_name not like 'openfda.%'").select(F.lit("tag_evidence").alias("tbl"), F.col("evidence_id").alias("row_id"), F.col("field_name").alias("field"), F.lit(1).alias("pos"), F.col("sentence").alias("text"))
     parts = [split_sentences(documents), split_sentences(sections, keys=["row_id", "field", "pos"]), split_sentences(evidence, keys=["row_id"])]
