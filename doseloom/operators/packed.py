@@ -1,23 +1,22 @@
 """Several values packed in one field: which delimiters a source uses, and the values one by one.
 
-The delimiters are inferred for each source (a table or field) from all of its fields. Every candidate
-splits every field, outside quotes, brackets and numbers; a piece counts as regular if it holds a word
-and if its first and last characters are of kinds that the source's undelimited fields have too. A
-candidate is taken if nearly all pieces are regular and hardly any are empty.
+The delimiters are inferred for each source (a table or field) from all of its fields. Every candidate splits every
+field, outside quotes, brackets and numbers, and is scored on two things: how regular its pieces are (first and last
+characters of kinds that the source's undelimited fields have, words where those have words, none empty), and how
+consistent the number of pieces per field is (always the same, or distributed as with the source's other candidates).
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.arrow import columns, no_clash, spec
-from ..functions.lineage import cut_lineage
+from ..functions.arrow import columns, no_clash, quoted, spec
 
 #: Candidates: name and pattern outside of quotes and brackets.
 CANDIDATES = {
@@ -33,13 +32,12 @@ CANDIDATES = {
     "ampersand": r"(?<=\s)&(?=\s|$)",
     "and": r"(?<=\s)and(?=\s)",
 }
-#: Least share of regular pieces, most share of empty ones, share from which a kind of first or last character counts as usual.
-REGULAR, EMPTY, USUAL = 0.8, 0.34, 0.02
+#: Weight of the regular pieces in the score (the rest is that of the counts' consistency), least score of a delimiter.
+SHARE, LEAST = 0.75, 0.7
+#: Most share of empty pieces; share from which a kind of first or last character counts as usual.
+EMPTY, USUAL = 0.34, 0.02
 #: Sources whose delimiters are kept at the driver; with more of them they are joined to the fields.
 MAX_SOURCES = 10_000
-#: Words of directions, which begin no entry of a list without separators.
-DIRECTIONS = frozenset("daily times time once twice three four every morning mornings evening evenings night bedtime hours hour days week weekly needed with food before after meals tablet tablets capsule capsules units unit directed".split())
-
 _QUOTED = r'"(?:[^"]|"")*"'
 _BRACKET = r"\((?:[^()]|\([^()]*\))*\)|\[[^\[\]]*\]"
 _ALL = re.compile("|".join([f"(?P<q>{_QUOTED})|(?P<b>{_BRACKET})", *(f"(?P<{k.replace(' ', '_')}>{v})" for k, v in CANDIDATES.items())]))
@@ -49,8 +47,6 @@ _NUMBER = re.compile(r"(?:^|(?<=[\s,;|/]))(?:\((\d{1,3})\)|(\d{1,3})[.)])(?=\s)"
 #: What may stand right before a quote that opens a value: nothing, a separator, a list mark or number, a joining word.
 _OPEN = re.compile(r"(?:^|[,;|/+&\r\n\t]|\band|^\s*[-*•·–▪]|[\r\n]\s*[-*•·–▪]|(?:^|(?<=[\s(]))\(?\d{1,3}[.)])\s*\Z")
 _JOINED = re.compile(r"(?:\s*(?:and|&)\s+)+", re.I)
-_STRENGTH = re.compile(r"\d[\d.,/]*\s*(?:mcg|mg|ug|µg|g|ml|units?|iu|meq|%)(?![a-z])", re.I)
-_ENTRY = re.compile(rf"(?P<b>{_BRACKET})|(?P<n>{_STRENGTH.pattern})|(?P<w>[^\W\d_][\w'-]*)", re.I)
 
 
 def cuts(text: str, scan: re.Pattern) -> list[tuple[int, int, str]]:
@@ -96,8 +92,12 @@ def by_candidate(text: str) -> dict[str, list[str]]:
     return {k: [text[x:y] for x, y in zip([0, *(b for _, b in v)], [*(a for a, _ in v), len(text)])] for k, v in found.items()} or {"": [text]}
 
 
+_SEEN = "source string, delimiter string, first string, last string, word boolean, pieces int"
+
+
 def shapes(df: DataFrame, column: str, source: str) -> DataFrame:
-    """Counts of piece shapes by source and candidate ('' for fields without any delimiter). Counted over all fields."""
+    """Counts, over all fields, by source and candidate ('' for fields without any delimiter): of piece shapes (pieces is 0),
+    and of fields by their number of pieces."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -106,30 +106,63 @@ def shapes(df: DataFrame, column: str, source: str) -> DataFrame:
                 if not text or not text.strip():
                     continue
                 for cand, parts in by_candidate(text.strip()).items():
+                    seen[name, cand, "", "", False, len(parts)] += 1
                     for part in parts:
-                        seen[name, cand, *shape(part)] += 1
+                        seen[name, cand, *shape(part), 0] += 1
             keys = list(seen)
-            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array([k[4] for k in keys], pa.bool_()), pa.array(list(seen.values()), pa.int64())], ["source", "delimiter", "first", "last", "word", "n"])
-
-    named = df.select(F.col(source).cast("string").alias("source"), F.col(column).cast("string").alias("text"))
-    return named.mapInArrow(count, "source string, delimiter string, first string, last string, word boolean, n bigint").groupBy("source", "delimiter", "first", "last", "word").agg(F.sum("n").alias("n"))
+            yield pa.RecordBatch.from_arrays([*(pa.array([k[i] for k in keys], pa.string()) for i in range(4)), pa.array([k[4] for k in keys], pa.bool_()), pa.array([k[5] for k in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], [*"source delimiter first last word pieces n".split()])
+
+    named = df.select(F.col(quoted(source)).cast("string").alias("source"), F.col(quoted(column)).cast("string").alias("text"))
+    return named.mapInArrow(count, f"{_SEEN}, n bigint").groupBy("source", "delimiter", "first", "last", "word", "pieces").agg(F.sum("n").alias("n"))
+
+
+def judge(seen: list[tuple[str, str, str, bool, int, int]]) -> list[tuple[str, int, float, float, float, float, bool]]:
+    """Of one source's counts (delimiter, first, last, word, pieces, n): delimiter, pieces, regular, empty, consistent, score, taken of each candidate."""
+    plain = [x for x in seen if not x[0] and not x[4] and x[1]]
+    total = sum(x[5] for x in plain)
+    usual = []
+    for end in (1, 2):
+        kinds: Counter = Counter()
+        for x in plain:
+            kinds[x[end]] += x[5]
+        usual.append({k for k, n in kinds.items() if n >= USUAL * total})
+    # whether values hold words is told by the undelimited fields, or without any by all pieces
+    told = plain or [x for x in seen if not x[4] and x[1]]
+    wordy = 2 * sum(x[5] for x in told if x[3]) >= sum(x[5] for x in told)
+    fields: dict[str, Counter] = {}
+    for d, _, _, _, pieces, n in seen:
+        if d and pieces:
+            fields.setdefault(d, Counter())[pieces] += n
+    pooled = sum(fields.values(), Counter())
+    out = []
+    for d in sorted(fields):
+        own = [x for x in seen if x[0] == d and not x[4]]
+        filled, every = sum(x[5] for x in own if x[1]), sum(x[5] for x in own)
+        fit = sum(x[5] for x in own if x[1] and (x[3] or not wordy) and (not plain or (x[1] in usual[0] and x[2] in usual[1])))
+        regular, empty = fit / max(1, filled), 1 - filled / max(1, every)
+        n = fields[d].total()
+        others = pooled - fields[d]
+        same = sum((k / n) ** 2 for k in fields[d].values())
+        alike = sum(min(k / n, others[p] / others.total()) for p, k in fields[d].items()) if others else 0.0
+        consistent = max(same, alike)
+        score = SHARE * regular + (1 - SHARE) * consistent
+        out.append((d, every, regular, empty, consistent, score, score >= LEAST and empty <= EMPTY))
+    return out
 
 
 def infer_delimiters(df: DataFrame, column: str, source: str) -> DataFrame:
-    """One row per source and candidate that occurs in it: regular (share of pieces), empty (share), pieces, taken."""
-    seen = cut_lineage(shapes(df, column, source))  # a few rows per source, read several times
-    whole = seen.where("delimiter = ''").groupBy("source")
-    usual = {}
-    for end in ("first", "last"):
-        by = seen.where("delimiter = ''").groupBy("source", end).agg(F.sum("n").alias("k"))
-        total = whole.agg(F.sum("n").alias("t"))
-        usual[end] = by.join(total, "source").where(F.col("k") >= USUAL * F.col("t")).groupBy("source").agg(F.collect_set(end).alias(f"{end}s"))
-    judged = seen.where("delimiter <> ''").join(usual["first"], "source", "left").join(usual["last"], "source", "left")
-    fits = F.col("word") & (F.col("firsts").isNull() | F.array_contains("firsts", F.col("first"))) & (F.col("lasts").isNull() | F.array_contains("lasts", F.col("last")))
-    filled = F.col("first") != ""
-    sums = judged.groupBy("source", "delimiter").agg(F.sum(F.when(filled & fits, F.col("n")).otherwise(0)).alias("r"), F.sum(F.when(filled, F.col("n")).otherwise(0)).alias("f"), F.sum("n").alias("pieces"))
-    scored = sums.select("source", "delimiter", "pieces", (F.col("r") / F.greatest("f", F.lit(1))).alias("regular"), (1 - F.col("f") / F.col("pieces")).alias("empty"))
-    return scored.withColumn("taken", (F.col("regular") >= REGULAR) & (F.col("empty") <= EMPTY))
+    """One row per source and candidate that occurs in it: pieces, regular (share of pieces), empty (share), consistent
+    (of the number of pieces per field), score, taken. Each source is judged from its counts, a few hundred rows."""
+    seen = shapes(df, column, source)
+
+    def one(table: pa.Table) -> pa.Table:
+        found = judge(list(zip(*(table.column(c).to_pylist() for c in ("delimiter", "first", "last", "word", "pieces", "n")))))
+        names = ["delimiter", "pieces", "regular", "empty", "consistent", "score", "taken"]
+        kinds = [pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.bool_()]
+        cols = list(zip(*found)) or [()] * 7
+        return pa.table([pa.array([table.column("source")[0].as_py()] * len(found), pa.string()), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["source", *names])
+
+    return seen.groupBy("source").applyInArrow(one, "source string, delimiter string, pieces bigint, regular double, empty double, consistent double, score double, taken boolean")
 
 
 def scanner(delimiters: list[str]) -> re.Pattern:
@@ -138,8 +171,9 @@ def scanner(delimiters: list[str]) -> re.Pattern:
     return re.compile(f"(?P<q>{_QUOTED})|(?P<b>{_BRACKET})|(?P<s>{found})")
 
 
-def values(text: str, scan: re.Pattern) -> list[str]:
-    """The values of a field, in order, without separators, list marks, joining words and outer quotes."""
+def values(text: str, scan: re.Pattern, further: Callable[[str], list[str]] | None = None) -> list[str]:
+    """The values of a field, in order, without separators, list marks, joining words and outer quotes; unquoted ones are
+    taken further apart by `further`."""
     out: list[str] = []
     expected = 1
     for piece in pieces(text, scan):
@@ -154,7 +188,8 @@ def values(text: str, scan: re.Pattern) -> list[str]:
                 p = p[1:-1].replace('""', '"').strip()
                 out += [p] if p else []
             elif p:
-                out += _run_on(p)
+                more = further(p) if further is not None else [p]
+                out += more if len(more) > 1 else [p]
     return out
 
 
@@ -173,38 +208,13 @@ def _numbered(piece: str, expected: int) -> Iterator[str | int]:
     yield piece[at:]
 
 
-def _run_on(text: str) -> list[str]:
-    """Entries of a list without separators: each has a name and a strength; a new name or strength after both begins the next."""
-    if len(_STRENGTH.findall(text)) < 2:
-        return [text]
-    starts, name, strength = [0], False, False
-    tokens = list(_ENTRY.finditer(text))
-    for i, m in enumerate(tokens):
-        if m.lastgroup == "b" or m.group("b"):
-            continue
-        if m.group("n"):
-            if re.search(r"(?:=|/|\bmax\.?)\s*\Z", text[max(0, m.start() - 12) : m.start()]):
-                continue
-            if name and strength:
-                starts.append(m.start())
-                name, strength = False, True
-            strength = True
-        elif len(m.group("w")) >= 4 and m.group("w").lower() not in DIRECTIONS:
-            if name and strength:
-                if any(t.group("n") for t in tokens[i + 1 : i + 4]):
-                    starts.append(m.start())
-                    name, strength = True, False
-            else:
-                name = True
-    return [x for a, b in zip(starts, [*starts[1:], len(text)]) if (x := text[a:b].strip())]
-
-
-def unpack_values(df: DataFrame, column: str, source: str, keys: list[str] | None = None) -> DataFrame:
+def unpack_values(df: DataFrame, column: str, source: str, keys: list[str] | None = None, further: dict[str, Callable[[str], list[str]]] | None = None) -> DataFrame:
     """One row per value packed in a field: df's other columns, then pos (from 1, empty values not counted) and item.
 
     Delimiters are inferred per value of the column `source`, over all fields. Null and blank fields give no
     rows; a field without a delimiter gives one. Delimiters in quotes, brackets and numbers belong to the
-    value; outer quotes go, doubled ones within become one. A null source is a source of its own. With keys,
+    value; outer quotes go, doubled ones within become one. A null source is a source of its own. further names, for
+    sources whose values also follow each other without any separator, what takes such a value apart. With keys,
     rows that agree in them are one record. Columns pos and item in df are a ValueError.
     """
     no_clash(df, ["pos", "item"])
@@ -218,7 +228,7 @@ def unpack_values(df: DataFrame, column: str, source: str, keys: list[str] | Non
         known = {}
         fields = df.withColumn("_source", F.col(source).cast("string")).join(taken.select(F.col("source").alias("_source"), F.col("delimiters").alias("_delimiters")), F.col("_source").eqNullSafe(F.col("source")), "left")
         fields = fields.select(*columns(others), F.col(column).cast("string"), "_source", "_delimiters")
-    n = len(others)
+    n, more = len(others), further or {}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scans: dict[tuple[str, ...], re.Pattern] = {}
@@ -228,7 +238,7 @@ def unpack_values(df: DataFrame, column: str, source: str, keys: list[str] | Non
                 key = tuple(sorted(own) if own is not None else known.get(name, ()))
                 if key not in scans:
                     scans[key] = scanner(list(key))
-                items.append(values(text, scans[key]) if text else [])
+                items.append(values(text, scans[key], more.get(name)) if text else [])
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(items, pa.list_(pa.string()))], [*others, "_items"])
 
     packed = fields.mapInArrow(split, spec(df.select(*columns(others)), "_items array<string>"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import units
+from .functions.runon import split_run_on
 from .operators.nested import EVERY, nested_tables
 from .operators.packed import unpack_values
 from .plans.dosing import daily_totals, ingredient_amounts
@@ -26,7 +27,7 @@ def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     lists = read(spark, folder, "patient_result").select(F.lit("patient_result").alias("tbl"), F.col("result_id").alias("row_id"), F.lit("medications").alias("source"), F.col("medications").alias("text"))
     labels = read(spark, folder, "tag_evidence").where("field_name like 'openfda.%'").select(F.lit("tag_evidence").alias("tbl"), F.col("evidence_id").alias("row_id"), F.col("field_name").alias("source"), F.col("sentence").alias("text"))
-    return unpack_values(lists.unionByName(labels), "text", "source", ["tbl", "row_id"]).select("tbl", "row_id", "pos", "item")
+    return unpack_values(lists.unionByName(labels), "text", "source", ["tbl", "row_id"], {"medications": split_run_on}).select("tbl", "row_id", "pos", "item")
 
 
 def p5_found(spark: SparkSession, folder: str) -> DataFrame:
