@@ -226,8 +226,9 @@ def unpack_values(df: DataFrame, column: str, source: str, keys: list[str] | Non
         fields = df.select(*columns(others), F.col(column).cast("string"), F.col(source).cast("string").alias("_source"), F.lit(None).cast("array<string>").alias("_delimiters"))
     else:
         known = {}
-        fields = df.withColumn("_source", F.col(source).cast("string")).join(taken.select(F.col("source").alias("_source"), F.col("delimiters").alias("_delimiters")), F.col("_source").eqNullSafe(F.col("source")), "left")
-        fields = fields.select(*columns(others), F.col(column).cast("string"), "_source", "_delimiters")
+        marks = taken.select(F.col("source").alias("_named"), F.col("delimiters").alias("_delimiters"))
+        fields = df.select(*columns(others), F.col(quoted(column)).cast("string").alias("_text"), F.col(quoted(source)).cast("string").alias("_source")).join(marks, F.col("_source").eqNullSafe(F.col("_named")), "left")
+        fields = fields.select(*columns(others), "_text", "_source", F.coalesce("_delimiters", F.array().cast("array<string>")).alias("_delimiters"))
     n, more = len(others), further or {}
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
