@@ -38,7 +38,7 @@ _POSTED = f"words as (select doc_id, unnest({_WORDS}) as term from documents), p
 _SCORE = "round(sum(times * ln((n_docs - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n_terms / mean))), 6)"
 _FIXED = [(1, "liver dose tablets"), (2, "kidney rash rash"), (3, "alcohol")]
 _FIXED_SQL = "asked as (select * from (values (1, 'liver dose tablets'), (2, 'kidney rash rash'), (3, 'alcohol')) v(query_id, query)), wanted as (select query_id, unnest(string_split(query, ' ')) as term from asked), times as (select query_id, term, count(*) as times from wanted group by all)"
-_NEGATED = T.NEGATED
+_NEGATED = "(?i)\\bno clinically (significant|meaningful|relevant|important)\\b|\\bnot clinically (significant|meaningful|relevant|important)\\b|\\bno (significant|meaningful|relevant) (effect|interaction|change|increase|prolongation)|\\bno (dose|dosage) adjustments? (is|are|was|were)? ?(needed|necessary|required|recommended)|\\bdoes not (require|need) (a )?(dose|dosage) adjustment|\\bno (evidence|reports?|cases?) of\\b|\\bnot (been )?(associated|observed|reported|seen|expected)\\b|\\bdid not (prolong|increase|affect|alter|result in|cause)\\b|\\bdoes not (prolong|increase|affect|alter|cause)\\b|\\bis not (a )?(controlled|scheduled)\\b|\\bnot a controlled substance\\b|\\bnot (expected|known|likely) to\\b|\\bwithout (clinically )?(significant|meaningful)\\b|\\b(was|were) not (observed|seen|reported|detected|found)\\b|\\bunlikely to\\b|\\bno interaction"
 _EVIDENCE = "evidence as (select distinct * from tag_evidence)"
 
 
@@ -185,10 +185,10 @@ def facet_then_bm25(spark, folder):
     return search.bm25(read(spark, folder, "documents"), _asked(spark), facet=F.col("source") == "lay_summary")
 
 
-@query("""
+@query(r"""
 with p as (select doc_id, text, list_min(list_filter([strpos(lower(text), 'liver'), strpos(lower(text), 'kidney')], lambda x: x > 0)) as hit from documents),
 b as (select *, greatest(coalesce(hit, 1) - 80, 1) as a, least(coalesce(hit - 1 + 80, 160), length(text)) as z from p)
-select doc_id, case when a > 1 then '…' else '' end || substr(text, a, z - a + 1) || case when z < length(text) then '…' else '' end as snippet from b""")
+select doc_id, coalesce(case when a > 1 then '…' else '' end || regexp_replace(substr(text, a, z - a + 1), '^[\s\x{a0}\x{3000}\x{2028}]+|[\s\x{a0}\x{3000}\x{2028}]+$', '', 'g') || case when z < length(text) then '…' else '' end, '') as snippet from b""")
 def snippet_extract(spark, folder):
     return read(spark, folder, "documents").select("doc_id", T.snippet(F.col("text"), F.array(F.lit("liver"), F.lit("kidney"))).alias("snippet"))
 
@@ -197,9 +197,8 @@ def snippet_extract(spark, folder):
 
 
 _PLAIN = "trim(regexp_replace(sentence, '[\\s\\x{a0}\\x{3000}\\x{2028}]+', ' ', 'g'))"
-for _a in T.PROTECTED:
-    _PLAIN = f"replace({_PLAIN}, '{_a}', '{_a[:-1]}' || chr(1))"
-_PLAIN = f"list_filter(list_transform(string_split(regexp_replace({_PLAIN}, '([.!?]) ([A-Z0-9(\\[\"''])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda s: replace(s, chr(1), '.')), lambda s: s <> '')"
+_PLAIN = f"regexp_replace({_PLAIN}, '(e\\.g|i\\.e|vs|approx|etc|mg|no|dr|fig|spp)\\.', '\\1' || chr(1), 'gi')"
+_PLAIN = f"list_filter(list_transform(string_split(regexp_replace({_PLAIN}, '([.!?]) ([A-Z0-9(\\[\"''])', '\\1' || chr(2) || '\\2', 'g'), chr(2)), lambda s: trim(replace(s, chr(1), '.'))), lambda s: s <> '')"
 
 
 @query(f"with {_EVIDENCE} select field_name, count(*) as n_rows, sum(len({_PLAIN}))::bigint as n_sentences from evidence where sentence is not null group by field_name")
