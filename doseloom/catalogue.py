@@ -542,12 +542,12 @@ def distinct_sides(spark, folder):
     return relations.distinct_sides(e.where("brand in ('Brand#11', 'Brand#12')"), e.where("brand in ('Brand#12', 'Brand#13')"), ["list_id"], "entry")
 
 
-@query("with e as (select distinct evidence_id, label_id, set_id, term_id, sentence from tag_evidence), own as (select label_id, term_id, min(sentence) as s from e where sentence is not null group by all), sets as (select set_id, term_id, min(sentence) as s from e where sentence is not null and set_id is not null group by all) select k.label_id, k.set_id, k.term_id, coalesce(own.s, sets.s) as sentence from (select distinct label_id, set_id, term_id from e) k left join own on own.label_id = k.label_id and own.term_id = k.term_id left join sets on sets.set_id = k.set_id and sets.term_id = k.term_id")
+@query("with e as (select distinct evidence_id, label_id, set_id, term_id, sentence from tag_evidence), own as (select label_id, term_id, arg_max(sentence, evidence_id) as s from e where sentence is not null group by all), sets as (select set_id, term_id, arg_min(sentence, evidence_id) as s from e where sentence is not null and set_id is not null group by all) select k.label_id, k.set_id, k.term_id, coalesce(own.s, sets.s) as sentence from (select distinct label_id, set_id, term_id from e) k left join own on own.label_id = k.label_id and own.term_id = k.term_id left join sets on sets.set_id = k.set_id and sets.term_id = k.term_id")
 def evidence_fallback(spark, folder):
-    e = read(spark, folder, "tag_evidence").dropDuplicates(["evidence_id"])
-    best = lambda key: e.where(f"sentence is not null and {key} is not null").groupBy(key, "term_id").agg(F.min("sentence").alias("sentence"))
+    e = read(spark, folder, "tag_evidence").select("evidence_id", "label_id", "set_id", "term_id", "sentence").distinct()
+    order = F.col("evidence_id")
     keys = e.select("label_id", "set_id", "term_id").distinct()
-    return relations.first_of(keys, [(best("label_id"), ["label_id", "term_id"]), (best("set_id"), ["set_id", "term_id"])], "sentence")
+    return relations.first_of(keys, [(e, ["label_id", "term_id"], order, True), (e.where("set_id is not null"), ["set_id", "term_id"], order, False)], "sentence")
 
 
 @query(f"with {_EVIDENCE}, s as (select label_id, evidence_id, unnest({_PLAIN}) as s, generate_subscripts({_PLAIN}, 1) as n from evidence where field_name = 'indications_and_usage' and sentence is not null), k as (select *, row_number() over (partition by label_id order by evidence_id, n) as r from (select label_id, s, min(evidence_id) as evidence_id, arg_min(n, row(evidence_id, n)) as n from s where length(s) between 20 and 420 group by label_id, s)) select label_id, r::int as place, s as sentence from k where r <= 3")

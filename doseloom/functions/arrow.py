@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -34,3 +34,17 @@ def no_clash(df: DataFrame, names: Iterable[str]) -> None:
     """A ValueError if df already has one of the names."""
     if clash := set(names) & set(df.columns):
         raise ValueError(f"columns {sorted(clash)} exist in the input; rename them first")
+
+
+def runs(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[object, list[tuple]]]:
+    """First value and rows of each run of equal first values, over the borders of batches."""
+    now, held = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and row[0] != now:
+                yield now, held
+                held = []
+            now = row[0]
+            held.append(row)
+    if held:
+        yield now, held

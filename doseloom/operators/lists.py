@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrow import arrow_type, runs
 from ..functions.lineage import cut_lineage
 
 
@@ -29,9 +33,8 @@ def rule_pairs(entries: DataFrame, rules: DataFrame, list_id: str, entry: str, t
     Sides are matched by equi joins with the rules; the two halves meet on list and rule, so no list is paired with itself as a whole.
     """
     mine = entries.select(list_id, F.col(entry).alias("e"), F.col(tag).alias("t")).distinct()
-    sides = F.broadcast(rules)
-    a = mine.join(sides, F.col("t") == F.col("side_a")).select(list_id, "rule", F.col("e").alias("a"))
-    b = mine.join(sides, F.col("t") == F.col("side_b")).select(list_id, "rule", F.col("e").alias("b"))
+    a = mine.join(rules, F.col("t") == F.col("side_a")).select(list_id, "rule", F.col("e").alias("a"))
+    b = mine.join(rules, F.col("t") == F.col("side_b")).select(list_id, "rule", F.col("e").alias("b"))
     return a.join(b, [list_id, "rule"]).where("a <> b")
 
 
@@ -40,21 +43,74 @@ def strongest(pairs: DataFrame, keys: list[str], order: list[Column]) -> DataFra
     return pairs.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+#: Rows of a list from which on it is worked off in rounds over all tasks.
+LARGE = 10_000
+
+
 def connected(members: DataFrame, list_id: str, entry: str, tag: str) -> DataFrame:
     """list, entry, component: entries of a list that share a tag, directly or through others, have the same (least) entry as component.
 
-    Least labels travel along entry and tag in turn until none changes; each round is two aggregates with map-side
-    combine and no group is gathered in a task.
+    Null entries are left out; null tags join nothing; a null list is none. Lists of up to LARGE rows are joined within a task,
+    one after another; longer ones in rounds of aggregates with map-side combine (least labels go along entry and tag,
+    then each label takes on the label of its own label, so that rounds grow with the logarithm of a chain).
     """
-    edges = cut_lineage(members.select(F.col(list_id).alias("l"), F.col(entry).alias("e"), F.col(tag).alias("t")).where("e is not null").distinct())
+    edges = members.select(F.col(list_id).alias("l"), F.col(entry).alias("e"), F.col(tag).alias("t")).where("e is not null and l is not null")
+    large = edges.groupBy("l").agg(F.count("*").alias("n")).where(F.col("n") > LARGE).select("l")
+    if large.isEmpty():
+        found = _joined(edges)
+    else:
+        large = cut_lineage(large)
+        found = _joined(edges.join(large, "l", "left_anti")).unionByName(_in_rounds(edges.join(large, "l", "left_semi")))
+    return found.select(F.col("l").alias(list_id), F.col("e").alias(entry), F.col("c").alias("component"))
+
+
+def _joined(edges: DataFrame) -> DataFrame:
+    kinds = [arrow_type(edges.schema[c].dataType) for c in "le"]
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+
+        def batch() -> pa.RecordBatch:
+            cols = list(zip(*out)) or [()] * 3
+            return pa.RecordBatch.from_arrays([pa.array(cols[0], kinds[0]), pa.array(cols[1], kinds[1]), pa.array(cols[2], kinds[1])], ["l", "e", "c"])
+
+        for group, rows in runs(batches):
+            head: dict = {}
+
+            def find(x):
+                while head[x] != x:
+                    head[x] = x = head[head[x]]
+                return x
+
+            seen: dict = {}
+            for _, e, t in rows:
+                head.setdefault(e, e)
+                if t is None:
+                    continue
+                a, b = find(e), find(seen.setdefault(t, e))
+                if a != b:
+                    head[max(a, b)] = min(a, b)
+            out += [(group, e, find(e)) for e in head]
+            if len(out) >= 5_000:
+                yield batch()
+                out.clear()
+        yield batch()
+
+    kind = {c: edges.schema[c].dataType.simpleString() for c in "le"}
+    return edges.repartition("l").sortWithinPartitions("l").mapInArrow(join, f"l {kind['l']}, e {kind['e']}, c {kind['e']}")
+
+
+def _in_rounds(edges: DataFrame) -> DataFrame:
+    edges = cut_lineage(edges.distinct())
     labels = edges.groupBy("l", "e").agg(F.min("e").alias("c"))
     while True:
         by_tag = edges.join(labels, ["l", "e"]).where("t is not null").groupBy("l", "t").agg(F.min("c").alias("c"))
         near = edges.join(by_tag, ["l", "t"]).groupBy("l", "e").agg(F.min("c").alias("near"))
         moved = cut_lineage(labels.join(near, ["l", "e"], "left").select("l", "e", F.least("c", F.coalesce("near", "c")).alias("c"), (F.coalesce("near", "c") < F.col("c")).alias("new")))
-        labels = moved.drop("new")
         if moved.where("new").isEmpty():
-            return labels.select(F.col("l").alias(list_id), F.col("e").alias(entry), F.col("c").alias("component"))
+            return moved.drop("new")
+        parent = moved.select("l", F.col("e").alias("c"), F.col("c").alias("up"))
+        labels = moved.drop("new").join(parent, ["l", "c"], "left").select("l", "e", F.least("c", F.coalesce("up", "c")).alias("c"))
 
 
 def closure(members: DataFrame) -> DataFrame:

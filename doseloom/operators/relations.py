@@ -22,7 +22,7 @@ def linked_pairs(entries: DataFrame, links: DataFrame, list_id: str, entry: str,
     """list, a, b (a before b) of entries whose names are linked in either direction (columns one, other)."""
     both = links.select("one", "other").union(links.select(F.col("other").alias("one"), F.col("one").alias("other"))).distinct()
     mine = entries.select(list_id, F.col(entry).alias("e"), F.lower(F.col(name)).alias("n")).distinct()
-    far = mine.withColumnRenamed("n", "one").join(F.broadcast(both), "one").select(list_id, F.col("e").alias("a"), F.col("other").alias("n"))
+    far = mine.withColumnRenamed("n", "one").join(both, "one").select(list_id, F.col("e").alias("a"), F.col("other").alias("n"))
     return far.join(mine.withColumnRenamed("e", "b"), [list_id, "n"]).where("a < b").select(list_id, "a", "b").distinct()
 
 
@@ -50,9 +50,13 @@ def distinct_sides(a: DataFrame, b: DataFrame, on: list[str], entry: str) -> Dat
     return met.where("n > 1 or m > 1 or one <> other").select(*on)
 
 
-def first_of(rows: DataFrame, sources: list[tuple[DataFrame, list[str]]], value: str) -> DataFrame:
-    """rows with the value of the first source that has one for the row's keys (each source with its own); null if none has."""
+def first_of(rows: DataFrame, sources: list[tuple[DataFrame, list[str], Column, bool]], value: str) -> DataFrame:
+    """rows with the value of the first source that has one for the row's keys; null if none has.
+
+    Each source is given with its keys, the order of its rows, and whether the last one of a key counts or the first.
+    """
     names = [f"_{i}" for i in range(len(sources))]
-    for name, (source, keys) in zip(names, sources):
-        rows = rows.join(source.select(*keys, F.col(value).alias(name)).dropDuplicates(keys), keys, "left")
+    for name, (source, keys, order, last) in zip(names, sources):
+        pick = F.max_by(value, order) if last else F.min_by(value, order)
+        rows = rows.join(source.where(F.col(value).isNotNull()).groupBy(*keys).agg(pick.alias(name)), keys, "left")
     return rows.withColumn(value, F.coalesce(*names)).drop(*names)

@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import negated
+from ..functions.text import negated, strip_heading
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A sentence of one of the fields (the first named goes first) that matches and is not excluded makes the term."""
+    """A sentence of one of the fields (the first named goes first) that matches and is not excluded makes the term.
+
+    also: a second pattern that must match; unless: one that lifts the exclusion; test: a further condition; ranked: patterns
+    of which the first that any sentence matches goes first; prefer: sentences that go first within a field; bare: the
+    evidence is given without its heading.
+    """
 
     term: str
     fields: tuple[str, ...]
@@ -20,27 +26,39 @@ class Rule:
     exclude: str = ""
     prefer: str = ""
     honour_negation: bool = True
+    also: str = ""
+    unless: str = ""
+    ranked: tuple[str, ...] = ()
+    test: Callable[[Column], Column] | None = None
+    bare: bool = False
 
 
 def tag(sentences: DataFrame, rules: list[Rule], doc: str, order: list[str]) -> DataFrame:
     """One row per document and term: doc, term, field_name, sentence of the best evidence.
 
     sentences has doc, field_name, sentence and the order columns that tell sentences of a field apart. The best
-    evidence is in the earliest field of the rule, there a preferred sentence before others, then the first. Rules
-    are few and become expressions of one scan; the choice is a min_by with partial aggregation.
+    evidence is in the earliest field of the rule, there of the first ranked pattern, a preferred sentence before others,
+    then the first. Rules are few and become expressions of one scan; the choice is a min_by with partial aggregation.
     """
-    hits = []
+    hits, s = [], F.col("sentence")
     for r in rules:
         place = F.array_position(F.array(*[F.lit(f) for f in r.fields]), F.col("field_name"))
-        ok = (place > 0) & F.col("sentence").rlike(r.include)
+        ok = (place > 0) & s.rlike(r.include)
+        if r.also:
+            ok = ok & s.rlike(r.also)
+        if r.test is not None:
+            ok = ok & F.coalesce(r.test(s), F.lit(False))
         if r.exclude:
-            ok = ok & ~F.col("sentence").rlike(r.exclude)
+            ok = ok & (~s.rlike(r.exclude) | s.rlike(r.unless) if r.unless else ~s.rlike(r.exclude))
         if r.honour_negation:
-            ok = ok & ~negated(F.col("sentence"))
-        late = F.when(F.col("sentence").rlike(r.prefer), 0).otherwise(1) if r.prefer else F.lit(0)
-        hits.append(F.when(ok, F.struct(F.lit(r.term).alias("term"), place.cast("int").alias("place"), late.alias("late"))))
-    found = sentences.select(doc, "field_name", "sentence", *order, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
-    best = F.min_by(F.struct("field_name", "sentence"), F.struct("h.place", "h.late", *order))
+            ok = ok & ~negated(s)
+        rank = F.lit(len(r.ranked))
+        for i, p in reversed(list(enumerate(r.ranked))):
+            rank = F.when(s.rlike(p), i).otherwise(rank)
+        late = F.when(s.rlike(r.prefer), 0).otherwise(1) if r.prefer else F.lit(0)
+        hits.append(F.when(ok, F.struct(F.lit(r.term).alias("term"), place.cast("int").alias("place"), rank.alias("rank"), late.alias("late"), (strip_heading(s) if r.bare else s).alias("said"))))
+    found = sentences.select(doc, "field_name", *order, F.explode(F.filter(F.array(*hits), lambda x: x.isNotNull())).alias("h"))
+    best = F.min_by(F.struct("field_name", F.col("h.said").alias("sentence")), F.struct("h.place", "h.rank", "h.late", *order))
     return found.groupBy(doc, F.col("h.term").alias("term")).agg(best.alias("b")).select(doc, "term", "b.*")
 
 

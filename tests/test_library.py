@@ -49,7 +49,7 @@ def test_tsv_and_sinks(spark, tmp_path):
 def test_text_functions(spark):
     df = spark.createDataFrame([("The liver. It is fine, e.g. Today! No?", ["liver", "x"]), ("", ["a"]), (None, ["a"])], "t string, q array<string>")
     got = df.select(T.plain_sentences(F.col("t")).alias("s"), F.size(T.tokens(F.col("t"))).alias("n"), T.negated(F.col("t")).alias("neg"), T.snippet(F.col("t"), F.col("q"), 5).alias("p")).collect()
-    assert got[0].s == ["The liver.", "It is fine, e.g. Today!", "No?"] and got[0].n == 8 and got[0].neg and got[0].p == "The liver…"
+    assert got[0].s == ["The liver.", "It is fine, e.g. Today!", "No?"] and got[0].n == 8 and not got[0].neg and got[0].p == "The liver…"
     assert got[2].n == 0 and got[2].s is None
 
 
@@ -95,6 +95,19 @@ def test_lists(spark):
     assert sorted((r["class"], r.member) for r in lists.closure(c).collect()) == [("a", "x"), ("b", "x")]
 
 
+def test_long_lists_are_joined_in_rounds(spark, monkeypatch):
+    """A chain of 60 entries and random tags: rounds and union within a task agree."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(1, i, f"t{i}") for i in range(60)] + [(1, i + 1, f"t{i}") for i in range(60)] + [(2, rng.randrange(80), rng.choice([None, *map(str, range(60))])) for _ in range(120)]
+    m = spark.createDataFrame([*rows, (3, None, "a"), (None, 1, "a")], "l int, e int, t string")
+    want = sorted(map(str, lists.connected(m, "l", "e", "t").collect()))
+    assert sum("l=1" in w and "component=0" in w for w in want) == 61
+    monkeypatch.setattr(lists, "LARGE", 1)
+    assert sorted(map(str, lists.connected(m, "l", "e", "t").collect())) == want and lists.connected(m.limit(0), "l", "e", "t").count() == 0
+
+
 def test_fuzzy_names(spark):
     typed = spark.createDataFrame([("trazdone",), ("trazodone",), ("qqq",), (None,), ("abcdefgh",)], "n string")
     keys = spark.createDataFrame([("trazodone",), ("abcdefgi",), ("abcdefgj",)], "k string")
