@@ -94,7 +94,7 @@ def clauses(sentence: Column, selfish: str = "") -> Column:
 
 def whole_word(text: Column, word: Column) -> Column:
     """Whether a text holds a word as a whole, case aside."""
-    return F.lower(text).rlike(F.concat(F.lit(r"(^|[^a-z0-9])\Q"), F.lower(word), F.lit(r"\E($|[^a-z0-9])")))
+    return F.regexp_like(F.lower(text), F.concat(F.lit(r"(?U)(^|\W)\Q"), F.lower(word), F.lit(r"\E($|\W)")))
 
 
 def snippet(body: Column, terms: Column, radius: int = 80) -> Column:
