@@ -489,26 +489,52 @@ def run_diff_outer_join(spark, folder):
 # entries and relations
 
 
-def _like(pattern: str) -> str:
-    return pattern.replace("'", "''")
+_UNITS_SQL = "mcg/hr?|mg|mcg|g|ml|meq|units?|%"
+_DAILY_SQL = r"(?:a\s*|per\s*|/\s*)?(?:daily|day|d\b)"
 
 
-_PARSED = f"""
+def _first_of(text: str, *patterns: str) -> str:
+    """SQL for what the first pattern that occurs says (patterns with one group, and what it stands for)."""
+    return "case " + " ".join(f"when regexp_matches({text}, '(?i){p}') then {value.format(x=f"regexp_extract({text}, '(?i){p}', 1)")}" for p, value in patterns) + " end"
+
+
+_WORDS_SQL = "case lower({x}) when 'once' then 1.0 when 'twice' then 2.0 when 'three times' then 3.0 when 'four times' then 4.0 when 'qd' then 1.0 when 'bid' then 2.0 when 'tid' then 3.0 when 'qid' then 4.0 when 'qhs' then 1.0 end"
+_OFTEN_SQL = _first_of(
+    "rest",
+    (r"\bx\s*([0-9]+)\s*(?:times\s*)?" + _DAILY_SQL, "{x}::double"),
+    (r"\b([0-9]+)\s*(?:times|time|x)\s*" + _DAILY_SQL, "{x}::double"),
+    (r"\b(once|twice|three times|four times)\s*" + _DAILY_SQL, _WORDS_SQL),
+    (r"\b(qd|bid|tid|qid|qhs)\b", _WORDS_SQL),
+    (r"\b(?:every|q)\s*([0-9]+)\s*(?:hours|hrs|hr|h)\b", "24.0 / {x}::double"),
+    (r"\bx\s*(daily|day)\b", "1.0"),
+    (r"\b(?:once\s+|twice\s+)?(weekly|every\s+week|each\s+week|once\s+a\s+week|q\s*week|q7d)\b", "null::double"),
+    (r"\b(daily|once a day|every day)\b", "1.0"),
+)
+
+
+@query(rf"""
 with m as (select distinct med_id, as_entered as t from medication_row),
-p as (select *, regexp_replace(t, '{_like(entries.TOTAL)}', ' ') as q from m),
-x as (select *, nullif(regexp_extract(q, '{_like(entries.COMBINED)}', 1), '') as c1, nullif(regexp_extract(q, '{_like(entries.COMBINED)}', 2), '') as c2, coalesce({', '.join(f"case when regexp_matches(q, '{_like(a)}') then {n!r}::double end" for a, n in entries.FREQUENCIES)}) as per_day,
-  try_cast(replace(regexp_extract(t, '{_like(entries.TOTAL)}', 1), ',', '') as double) as stated_total from p),
-s as (select *, case when c1 is null then try_cast(replace(nullif(regexp_extract(q, '{_like(entries.STRENGTH)}', 1), ''), ',', '') as double) end as strength from x)
-select med_id, strength, coalesce(nullif(regexp_extract(q, '{_like(entries.COMBINED)}', 3), ''), nullif(regexp_extract(q, '{_like(entries.STRENGTH)}', 2), '')) as unit,
-  c1 || '/' || c2 as strengths, per_day, stated_total, coalesce(strength * per_day, stated_total) as total,
-  nullif(regexp_extract(q, '{_like(entries.BRANDED)}', 1), '') as brand, nullif(regexp_extract(q, '{_like(entries.BRANDED)}', 2), '') as generic,
-  regexp_matches(q, '(?i)\\b(as needed|if needed|prn)\\b|(?i)p\\.r\\.n\\.') as as_needed from s"""
+s as (select *, regexp_extract(t, '(?i)(?:^|[^\w.])([0-9]+(?:\.[0-9]+)?)\s*({_UNITS_SQL})(?:$|[^a-z])', ['value', 'unit']) as x, regexp_replace(t, '(?i)(^|[^\w.])[0-9]+(?:\.[0-9]+)?\s*(?:{_UNITS_SQL})($|[^a-z])', '\1 \2') as rest from m where not regexp_matches(t, '[0-9]\s*(?:{_UNITS_SQL})?\s*/\s*[0-9]|[=()]')),
+f as (select *, {_OFTEN_SQL} as times_per_day, try_cast(x.value as double) as strength_value, nullif(lower(x.unit), '') as u, regexp_matches(t, '(?i)\b(?:as\s+needed|prn|as\s+necessary)\b') as as_needed from s)
+select med_id, strength_value, case u when 'ml' then 'mL' when 'meq' then 'mEq' when 'mcg/hr' then 'mcg/h' when 'unit' then 'units' else u end as strength_unit, times_per_day,
+  case when u in ('mcg/h', 'mcg/hr') then strength_value else strength_value * times_per_day end as daily_total, as_needed from f""")
+def entry_doses(spark, folder):
+    """Entries without a combination, a stated total or brackets: strength, frequency and total of the parser."""
+    rows = read(spark, folder, "medication_row").select("med_id", "as_entered").distinct().where(~F.col("as_entered").rlike(r"(?i)[0-9]\s*(?:mcg/hr?|mg|mcg|g|ml|meq|units?|%)?\s*/\s*[0-9]|[=()]"))
+    return entries.parse_entries(rows, "as_entered").select("med_id", *[F.col(f"parsed.{c}") for c in ("strength_value", "strength_unit", "times_per_day", "daily_total", "as_needed")])
 
 
-@query(_PARSED)
+@query()
 def entry_parse(spark, folder):
+    """Everything that an entry says; tests/test_entries.py holds the golden values."""
     rows = read(spark, folder, "medication_row").select("med_id", "as_entered").distinct()
-    return rows.select("med_id", entries.parse_entry(F.col("as_entered")).alias("p")).select("med_id", "p.*")
+    return entries.parse_entries(rows, "as_entered").select("med_id", "parsed.*")
+
+
+@query()
+def list_entries(spark, folder):
+    rows = read(spark, folder, "patient_result").select("result_id", "medications").distinct()
+    return entries.split_lists(rows, "medications")
 
 
 @query(f"with m as (select distinct med_id, list_id, lower(matched_name) as name from medication_row where matched_name is not null), w as (select distinct list_id, med_id as a, unnest({_WORDS.replace('text', 'as_entered')}) as word from medication_row) select distinct w.list_id, a, med_id as b from w join m on m.list_id = w.list_id and m.name = word where a <> med_id")

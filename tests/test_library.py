@@ -125,14 +125,11 @@ def test_html_tables(spark):
 
 
 def test_entries(spark):
-    df = spark.createDataFrame([("Brandy (generol) 2,500 mg bid = 5,000 mg/day",), ("abcde 50/12.5 mg tid as needed",), ("",), (None,)], "t string")
-    a, b, c, d = (r.p for r in df.select(entries.parse_entry(F.col("t")).alias("p")).collect())
-    assert (a.strength, a.unit, a.per_day, a.stated_total, a.total, a.brand, a.generic, a.as_needed) == (2500, "mg", 2, 5000, 5000, "Brandy", "generol", False)
-    assert (b.strength, b.strengths, b.per_day, b.as_needed) == (None, "50/12.5", 3, True) and c.total is None and d.unit is None
     n = spark.createDataFrame([("70",), ("-1",), ("x",), (None,)], "v string")
     assert [r.v for r in n.select(entries.request_limit(F.col("v")).alias("v")).collect()] == [50, 1, 10, 10]
-    m = spark.createDataFrame([(0.25,), (1500.0,), (12.5,)], "v double")
-    assert [r.v for r in m.select(entries.amount_text(F.col("v")).alias("v")).collect()] == ["250 mcg", "1.5 g", "12.5 mg"]
+    m = spark.createDataFrame([(0.25, "mg"), (1500.0, "mg"), (12.5, "mg"), (4300.0, "mg"), (0.2, "mg"), (25.0, "units"), (1234.56, "units"), (1000.25, "mg")], "v double, u string")
+    assert [r.v for r in m.select(entries.amount_text(F.col("v"), F.col("u")).alias("v")).collect()] == ["250 mcg (0.25 mg)", "1,500 mg (1.5 g)", "12.5 mg", "4,300 mg (4.3 g)", "200 mcg (0.2 mg)", "25 units", "1,234.56 units", "1,000.2 mg (1.00025 g)"]
+    df = spark.createDataFrame([("abcd",)], "t string")
     with pytest.raises(Exception, match="more than 3"):
         df.select(entries.short_enough(F.col("t"), 3)).collect()
 
