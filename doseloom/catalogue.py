@@ -431,7 +431,10 @@ def exact_name_join(spark, folder):
 
 @query()
 def fuzzy_name_join(spark, folder):
-    return resolve.fuzzy_names(read(spark, folder, "medication_row"), read(spark, folder, "name_dictionary"), "matched_name", "name_key")
+    """Status, set and candidates of every distinct name; tests/test_resolve.py compares with all pairs."""
+    typed = read(spark, folder, "medication_row").select(F.col("matched_name").alias("name")).where("name is not null")
+    found = resolve.local_matches(typed, read(spark, folder, "name_dictionary"))
+    return found.select("name", "status", "matched_name", F.array_join("ingredient_set", "|").alias("set_key"), F.round("score", 6).alias("score"), "reason", "candidates")
 
 
 _STRENGTH = r"([0-9]+(?:[.,][0-9]+)*) ?(mg|mcg|g|mL|units|IU|mEq)\b"

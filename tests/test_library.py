@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from doseloom.functions import text as T
 from doseloom.functions import entries
-from doseloom.operators import collect, evaluation, lists, markup, relations, resolve, search, tagging
+from doseloom.operators import collect, evaluation, lists, markup, relations, search, tagging
 from doseloom.sources import files, sinks
 from doseloom.streaming import incremental
 
@@ -108,13 +108,6 @@ def test_long_lists_are_joined_in_rounds(spark, monkeypatch):
     assert sorted(map(str, lists.connected(m, "l", "e", "t").collect())) == want and lists.connected(m.limit(0), "l", "e", "t").count() == 0
 
 
-def test_fuzzy_names(spark):
-    typed = spark.createDataFrame([("trazdone",), ("trazodone",), ("qqq",), (None,), ("abcdefgh",)], "n string")
-    keys = spark.createDataFrame([("trazodone",), ("abcdefgi",), ("abcdefgj",)], "k string")
-    got = {r.n: (r.status, r.key) for r in resolve.fuzzy_names(typed, keys, "n", "k").collect()}
-    assert got["trazdone"] == ("matched", "trazodone") and got["trazodone"] == ("matched", "trazodone") and got["qqq"] == ("unresolved", None) and got["abcdefgh"][0] == "needs_confirmation"
-
-
 def test_html_tables(spark):
     html = "<p>x</p><table><tr><th>a &amp; b<th> c<br>d</tr><tr><td>1</td><td></td></tr></table><TABLE><td>9"
     assert markup.cells_of(html) == [(1, 1, 1, "a & b"), (1, 1, 2, "c d"), (1, 2, 1, "1"), (1, 2, 2, ""), (2, 1, 1, "9")]
