@@ -348,11 +348,11 @@ def _entries(spark, folder):
 _LISTS = "e as (select l_orderkey as list_id, l_partkey as entry, l_quantity as amount, p_brand as brand, p_type as type, p_size as size from lineitem join part on l_partkey = p_partkey)"
 
 
-@query("with a as (select distinct * from entry_amount), m as (select distinct med_id, list_id from medication_row) select list_id, ingredient, round(sum(amount), 6) as total, count(amount) as n, array_to_string(list_sort(list_distinct(list_filter(list(display_name), lambda x: x is not null))), ',') as names, coalesce(bool_or(as_needed), false) as any_flag from a join m using (med_id) group by all")
+@query("with a as (select distinct * from entry_amount), m as (select distinct med_id, list_id from medication_row) select list_id, ingredient, unit, period, round(sum(amount), 6) as total, count(amount) as n, array_to_string(list_sort(list_filter(list(display_name), lambda x: x is not null)), ',') as names, coalesce(bool_or(as_needed), false) as any_flag from a join m using (med_id) group by all")
 def molecule_totals(spark, folder):
     amounts = read(spark, folder, "entry_amount").dropDuplicates(["amount_id"])
     rows = read(spark, folder, "medication_row").select("med_id", "list_id").dropDuplicates(["med_id"])
-    return lists.totals(amounts.join(rows, "med_id"), ["list_id", "ingredient"], "amount", "display_name", "as_needed")
+    return lists.totals(amounts.join(rows, "med_id"), ["list_id", "ingredient", "unit", "period"], "amount", "display_name", "as_needed")
 
 
 @query(f"with {_LISTS}, t as (select list_id, entry, max(size) as size, sum(amount) as total from e group by all) select list_id, entry, round(total, 6) as total, case when total > size * 1.005 then 'above' else 'at' end as verdict from t where total >= size * 0.995")

@@ -13,8 +13,8 @@ from ..functions.lineage import cut_lineage
 
 
 def totals(entries: DataFrame, keys: list[str], amount: str, name: str, flag: str) -> DataFrame:
-    """Sum, count, distinct names in order and any flag, per key; nulls don't add."""
-    return entries.groupBy(*keys).agg(F.round(F.sum(amount), 6).alias("total"), F.count(amount).alias("n"), F.array_join(F.array_sort(F.collect_set(name)), ",").alias("names"), F.coalesce(F.bool_or(flag), F.lit(False)).alias("any_flag"))
+    """Sum, count, names in order and any flag, per key; nulls don't add. Amounts of different units or periods need these among the keys."""
+    return entries.groupBy(*keys).agg(F.round(F.sum(amount), 6).alias("total"), F.count(amount).alias("n"), F.array_join(F.array_sort(F.collect_list(name)), ",").alias("names"), F.coalesce(F.bool_or(flag), F.lit(False)).alias("any_flag"))
 
 
 def ceiling(total: Column, most: Column) -> Column:

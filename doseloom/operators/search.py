@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
 from ..functions.text import tokens
 
 #: Fixed values of the ranking function.
 K1, B = 1.2, 0.75
+#: Different words of all queries that are sought within each row; with more of them all words are counted.
+MANY_WORDS = 5_000
 
 
 def postings(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", only: DataFrame | None = None) -> DataFrame:
@@ -42,14 +45,16 @@ def bm25(docs: DataFrame, queries: DataFrame, doc_id: str = "doc_id", text: str
     before they are shuffled, and scores are summed per query and document with partial aggregation.
     """
     wanted = query_terms(queries, query_id, query)
-    size = lengths(docs, doc_id, text)
-    posted = postings(docs, doc_id, text, wanted)
-    stats = size.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("n_terms"), F.lit(0.0)).alias("mean"))
-    seen = docs if facet is None else docs.where(facet)
-    allowed = lengths(seen, doc_id, text)
-    weighted = wanted.join(document_frequencies(posted), "term")
-    scored = posted.join(weighted, "term").join(allowed, "doc_id")
-    n_docs, mean = stats.select("n_docs").scalar(), stats.select("mean").scalar()
+    words = [r.term for r in wanted.select("term").distinct().limit(MANY_WORDS + 1).collect()]
+    seen = F.lit(True) if facet is None else F.coalesce(facet, F.lit(False))
+    split = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("w"), seen.alias("seen"))
+    kept = F.filter("w", lambda x: x.isin(words)) if len(words) <= MANY_WORDS else F.col("w")  # the queries' words only, within the row
+    # texts are read and split once; lengths, statistics and postings come from what is kept of them
+    read = cut_lineage(split.select("doc_id", "seen", F.size("w").alias("n_terms"), kept.alias("kept")))
+    posted = read.where(F.size("kept") > 0).select("doc_id", "n_terms", "seen", F.explode("kept").alias("term")).groupBy("doc_id", "n_terms", "seen", "term").agg(F.count("*").alias("tf"))
+    stats = read.agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("n_terms"), F.lit(0.0)).alias("mean")).first()
+    n_docs, mean = F.lit(stats.n_docs), F.lit(stats.mean)
+    scored = posted.where("seen").join(wanted.join(document_frequencies(posted), "term"), "term")
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / mean)
     hits = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * idf * F.col("tf") * (K1 + 1) / norm), 6).alias("score")).where("score > 0")

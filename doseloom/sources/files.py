@@ -8,7 +8,8 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow.fs import FileSystem, LocalFileSystem
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Characters read from a member at once.
@@ -23,6 +24,11 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     return parts.select(F.col("p.file").alias("url"), "p.display_name", F.col("p.size_mb").try_cast("double").alias("size_mb"), "p.records", F.when(name != "", name).otherwise(F.raise_error(F.lit("a manifest url has no last segment"))).alias("file"))
 
 
+def export_date(spark: SparkSession, path: str) -> DataFrame:
+    """One row: export_date of a manifest."""
+    return spark.read.schema("results struct<drug:struct<label:struct<export_date:string>>>").json(path, multiLine=True).select("results.drug.label.export_date")
+
+
 def elements(chunks: Iterator[str], key: str) -> Iterator[dict]:
     """Elements of the array under a key, decoded one after another with bounded memory; a cut-off tail is left out."""
     decoder, buffer, inside = json.JSONDecoder(), "", False
@@ -50,39 +56,56 @@ def elements(chunks: Iterator[str], key: str) -> Iterator[dict]:
             buffer = buffer[end:]
 
 
-def _texts(name: str, content: bytes) -> Iterator[Iterator[str]]:
-    def read(stream) -> Iterator[str]:
+def _members(path: str) -> Iterator[tuple[str, Iterator[str]]]:
+    """Name and text of each JSON member of an archive, or of a plain file, read piece by piece."""
+
+    def pieces(stream) -> Iterator[str]:
         reader = io.TextIOWrapper(stream, "utf-8")
         while chunk := reader.read(CHUNK):
             yield chunk
 
-    if zipfile.is_zipfile(io.BytesIO(content)):
-        with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            for member in archive.namelist():
-                if member.endswith(".json"):
-                    with archive.open(member) as stream:
-                        yield read(stream)
-    else:
-        yield read(io.BytesIO(content))
+    system, name = FileSystem.from_uri(path) if "://" in path else (LocalFileSystem(), path.removeprefix("file:"))
+    with system.open_input_file(name) as file:
+        if zipfile.is_zipfile(file):
+            with zipfile.ZipFile(file) as archive:
+                for member in archive.namelist():
+                    if member.endswith(".json"):
+                        with archive.open(member) as stream:
+                            yield member, pieces(stream)
+        else:
+            file.seek(0)
+            yield name.rpartition("/")[2], pieces(file)
 
 
 def zipped_records(spark: SparkSession, path: str, key: str = "results") -> DataFrame:
-    """file, record (JSON text) of every element in the array of each zipped or plain JSON file; one task reads a file in a stream."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    """file, member, record (JSON text) of every element in the array of each zipped or plain JSON file.
+
+    Only the files' names go through Spark; a task opens its file where it lies and holds one element and one piece of
+    text at a time, however large the file is.
+    """
+    # one task a file: archives can't be split
+    names = spark.read.format("binaryFile").load(path).select("path")
+    count = names.count()
+    spread = names.repartition(max(1, min(count, 10_000)), "path")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                held: list[str] = []
-                for chunks in _texts(name, content):
+        def batch(name: str, member: str, held: list[str]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.string()), pa.array([member] * len(held), pa.string()), pa.array(held, pa.string())], ["file", "member", "record"])
+
+        for part in batches:
+            for name in part.column(0).to_pylist():
+                for member, chunks in _members(name):
+                    held: list[str] = []
+                    size = 0
                     for value in elements(chunks, key):
                         held.append(json.dumps(value, ensure_ascii=False))
-                        if len(held) == 1000:
-                            yield pa.RecordBatch.from_pydict({"file": [name] * 1000, "record": held})
-                            held = []
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(held), pa.string()), pa.array(held, pa.string())], ["file", "record"])
+                        size += len(held[-1])
+                        if size > 4 * CHUNK:
+                            yield batch(name, member, held)
+                            held, size = [], 0
+                    yield batch(name, member, held)
 
-    return files.mapInArrow(read, "file string, record string")
+    return spread.mapInArrow(read, "file string, member string, record string")
 
 
 def incomplete(parts: DataFrame, spark: SparkSession, folder: str) -> DataFrame:
@@ -109,3 +132,37 @@ def judgments_tsv(spark: SparkSession, path: str) -> DataFrame:
     parts = F.split("value", "\t")
     rows = lines.where(F.size(parts) >= 3).select(parts[0].alias("query_id"), parts[1].alias("doc_id"), parts[2].try_cast("double").alias("grade"), "n")
     return rows.groupBy("query_id", "doc_id").agg(F.max_by("grade", "n").alias("grade"))
+
+
+def answer_keys(spark: SparkSession, path: str) -> DataFrame:
+    """list_id, record (JSON text) of Markdown files in which a heading names a list (L01) and a fenced JSON block follows it."""
+    text = spark.read.text(path, wholetext=True)
+    blocks = F.explode(F.regexp_extract_all("value", F.lit(r"(?s)(#+ L[0-9]+.*?```json\s.*?```)"), F.lit(1)))
+    block = text.select(blocks.alias("b"))
+    return block.select(F.regexp_extract("b", r"^#+ (L[0-9]+)", 1).alias("list_id"), F.regexp_extract("b", r"(?s)```json\s+(.*?)\s*```", 1).alias("record"))
+
+
+def by_keys(rows: DataFrame, key: str, wanted: list[str]) -> DataFrame:
+    """Rows of a few keys, as a filter that reaches the scan."""
+    return rows.where(F.col(key).isin(wanted))
+
+
+def query_url(base: str, terms: Column, limit: Column) -> Column:
+    """Address of a search: base?search=terms&limit=n, encoded."""
+    return F.concat(F.lit(base + "?search="), F.url_encode(terms), F.lit("&limit="), limit.cast("string"))
+
+
+def approximate_candidates(answers: DataFrame, body: str) -> DataFrame:
+    """The other columns, concept, name, score, rank of each candidate in an answer (JSON text) to an approximate search; unreadable answers have none."""
+    kind = "approximateGroup struct<candidate:array<struct<rxcui:string,name:string,score:string,rank:string>>>"
+    others = [c for c in answers.columns if c != body]
+    rows = answers.select(*others, F.explode(F.from_json(body, kind)["approximateGroup"]["candidate"]).alias("c"))
+    return rows.select(*others, F.col("c.rxcui").alias("concept"), "c.name", F.col("c.score").try_cast("double").alias("score"), F.col("c.rank").try_cast("int").alias("rank"))
+
+
+def related_names(answers: DataFrame, body: str) -> DataFrame:
+    """The other columns, concept, name of each related concept in an answer, over all its groups."""
+    kind = "relatedGroup struct<conceptGroup:array<struct<conceptProperties:array<struct<rxcui:string,name:string>>>>>"
+    others = [c for c in answers.columns if c != body]
+    groups = F.from_json(body, kind)["relatedGroup"]["conceptGroup"]["conceptProperties"]
+    return answers.select(*others, F.explode(F.flatten(F.filter(groups, lambda x: x.isNotNull()))).alias("c")).select(*others, F.col("c.rxcui").alias("concept"), "c.name")

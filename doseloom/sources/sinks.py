@@ -2,13 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 
-def write_json_lines(df: DataFrame, path: str) -> None:
-    """df as JSON lines in a folder; the commit protocol makes it appear whole or not at all."""
-    df.write.mode("overwrite").json(path)
+def write_json_lines(df: DataFrame, path: str) -> int:
+    """df as JSON lines in a folder, and its number of rows, counted on the way; the commit protocol makes it appear whole or not at all."""
+    seen = Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.mode("overwrite").json(path)
+    return seen.get["n"]
+
+
+def write_json(df: DataFrame, path: str) -> None:
+    """A small table as one JSON-lines file within a folder."""
+    df.coalesce(1).write.mode("overwrite").json(path)
+
+
+def safe_keys(df: DataFrame, key: str) -> DataFrame:
+    """Rows whose key may be part of a path: not null, not empty, without strokes and dots that climb."""
+    k = F.col(key)
+    return df.where(k.isNotNull() & (k != "") & ~k.contains("/") & ~k.contains("\\") & ~k.isin(".", ".."))
 
 
 def write_split(df: DataFrame, path: str, key: str, body: str, parts: int = 64) -> None:
@@ -19,7 +32,10 @@ def write_split(df: DataFrame, path: str, key: str, body: str, parts: int = 64)
 
 
 def read_bodies(hits: DataFrame, path: str, key: str, body: str, parts: int = 64) -> DataFrame:
-    """hits with their body, '' where there is none; the partition column prunes the folders that no hit needs."""
+    """hits with their body, '' where there is none. The folders that the hits lie in (at most `parts`) become a filter of the
+    partition column, so no others are listed or read."""
     spark = hits.sparkSession
     keyed = hits.withColumn("part", F.pmod(F.xxhash64(key), F.lit(parts)))
-    return keyed.join(spark.read.parquet(f"{path}/bodies"), [key, "part"], "left").withColumn(body, F.coalesce(body, F.lit(""))).drop("part")
+    wanted = [r.part for r in keyed.select("part").distinct().collect()]
+    bodies = spark.read.parquet(f"{path}/bodies").where(F.col("part").isin(wanted) if wanted else F.lit(False))
+    return keyed.join(bodies, [key, "part"], "left").withColumn(body, F.coalesce(body, F.lit(""))).drop("part")
