@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from .catalogue import _BM25, _EVIDENCE, _FIXED_SQL, _NEGATED, _PLAIN, _POSTED, SQL, _asked, _counts, _judged, query, read
 from .functions import text as T
 from .functions.lineage import checkpoint_folder
-from .operators import amounts, checks, evaluation, index, orders, rollup, tagging, vocabulary
+from .operators import amounts, checks, evaluation, index, orders, records, rollup, tagging, vocabulary
 from .sources import files, sinks
+from .streaming import incremental
 
 FIXTURES = Path(__file__).resolve().parents[1] / "tests" / "fixtures"
 
@@ -444,3 +445,65 @@ def point_read(spark, folder):
     ends = rows.where(F.length("set_id") == 36).agg(F.min("set_id").alias("a"), F.max("set_id").alias("b")).first()
     return files.by_keys(rows, "set_id", [ends.a, ends.b])
 
+
+
+# records
+
+
+@query("with e as (select distinct user_id, ts, event_id from events), f as (select *, case when ts < lag(ts) over w + interval 30 minute then 0 else 1 end as fresh from e window w as (partition by user_id order by ts, event_id)), g as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as s from f) select user_id, min(ts) as start, max(ts) + interval 30 minute as finish, count(*) as n from g group by user_id, s")
+def event_sessions(spark, folder):
+    events = read(spark, folder, "events").select("user_id", "ts", "event_id").distinct()
+    return incremental.sessions(events, "ts", "1 day", "30 minutes", ["user_id"]).withColumnRenamed("end", "finish")
+
+
+@query()
+def label_profiles(spark, folder):
+    """Quotes of labels by section; tests/test_records.py holds the cases."""
+    rows = _evidence(spark, folder).where("label_id is not null and field_name not like 'openfda.%'")
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("evidence_id", "sentence"))), lambda x: x["sentence"])
+    sections = rows.groupBy("label_id", "field_name").agg(texts.alias("texts")).groupBy("label_id").agg(F.map_from_entries(F.collect_list(F.struct("field_name", "texts"))).alias("sections"))
+    return records.label_profiles(sections, "label_id")
+
+
+@query(f"with {_EVIDENCE}, {_rows('t', vocabulary.TERMS, 'term, name, grp')} select set_id, term_id as term, name, field_name, sentence, evidence_id as place from evidence join t on term = term_id where set_id is not null and term_id in ('T01', 'T04', 'T06', 'T12', 'T14', 'T15', 'T16', 'T17') and coalesce(sentence, '') <> ''")
+def label_notes(spark, folder):
+    e = _evidence(spark, folder).where("set_id is not null").withColumnRenamed("term_id", "term")
+    return records.label_notes(e, "set_id", "evidence_id")
+
+
+@query("with o as (select distinct label_id, set_id, list_sort(list_filter(ingredient_set, lambda x: x is not null)) as s from label_summary), r as (select label_id, set_id, coalesce(array_to_string(s, '|'), '') as k from o) select 'repeated label' as problem, label_id as key, count(*) as n from r where label_id <> '' group by label_id having count(*) > 1 union all select 'repeated ingredient set', k, count(*) from r where k <> '' group by k having count(*) > 1 union all select 'no set id', coalesce(label_id, ''), count(*) from r where coalesce(set_id, '') = '' group by 2 union all select 'no ingredients', coalesce(label_id, ''), count(*) from r where k = '' group by 2")
+def collection_problems(spark, folder):
+    rows = read(spark, folder, "label_summary").select("label_id", "set_id", F.filter("ingredient_set", lambda x: x.isNotNull()).alias("ingredient_set")).distinct()
+    return records.collection_problems(rows)
+
+
+@query(r"""
+with once as (select distinct row_id, brand_names, generic_names, array_to_string(list_filter(ingredient_set, lambda x: x is not null), '|') as s from label_summary),
+n as (select row_id, s, 'brand' as kind, unnest(brand_names) as display from once union all select row_id, s, 'generic', unnest(generic_names) from once),
+k as (select *, lower(trim(regexp_replace(display, '[\s\x{a0}]+', ' ', 'g'))) as name_key from n where display is not null)
+select name_key, string_agg(distinct kind, ',' order by kind) as kinds, count(distinct coalesce(s, '')) as n_sets, min(row_id) as first_row from k where name_key <> '' group by name_key""")
+def name_entries(spark, folder):
+    none = F.array().cast("array<string>")
+    once = read(spark, folder, "label_summary").select("row_id", "brand_names", "generic_names", F.coalesce(F.filter("ingredient_set", lambda x: x.isNotNull()), none).alias("s")).distinct()
+    entries = records.name_entries(once, {"brand": "brand_names", "generic": "generic_names"}, "s", "row_id")
+    every = once.select("row_id", F.explode(F.concat(F.coalesce("brand_names", none), F.coalesce("generic_names", none))).alias("x"))
+    first = every.groupBy(F.lower(T.collapse(F.col("x"))).alias("name_key")).agg(F.min("row_id").alias("first_row"))
+    return entries.join(first, "name_key").select("name_key", F.array_join("kinds", ",").alias("kinds"), F.size("ingredient_sets").cast("bigint").alias("n_sets"), "first_row")
+
+
+@query("with l as (select distinct label_id, set_id, brand_names, generic_names, ingredient_set from label_summary where set_id is not null), e as (select distinct evidence_id, set_id, term_id from tag_evidence where set_id is not null), c as (select set_id, count(*) as n from e group by set_id) select label_id, l.set_id, len(coalesce(brand_names, []))::int as n_brands, array_to_string(list_sort(list_distinct(list_transform(list_filter(coalesce(ingredient_set, []), lambda x: x is not null), lambda x: upper(x)))), '|') as ingredients, coalesce(n, 0)::int as n_evidence from l left join c using (set_id)")
+def checker_records(spark, folder):
+    none = F.lit(None).cast("array<string>")
+    rows = read(spark, folder, "label_summary").where("set_id is not null").select("label_id", "set_id", "brand_names", "generic_names", "ingredient_set").distinct()
+    labels = rows.select("set_id", F.col("label_id").alias("effective_time"), F.col("brand_names").alias("brand_name"), F.col("generic_names").alias("generic_name"), F.filter("ingredient_set", lambda x: x.isNotNull()).alias("substance_name"), none.alias("route"), none.alias("pharm_class_epc"), F.lit(None).cast("string").alias("controlled_substance"))
+    evidence = _evidence(spark, folder).where("set_id is not null").select("set_id", F.col("term_id").alias("term"), "field_name", "sentence")
+    made = records.checker_records(labels, evidence)
+    return made.select(F.col("effective_time").alias("label_id"), "set_id", F.size("brand_names").alias("n_brands"), F.array_join("ingredient_set", "|").alias("ingredients"), F.size("evidence").alias("n_evidence"))
+
+
+@query("with s as (select distinct set_id from tag_evidence where set_id is not null), t(term) as (select 'T' || lpad(i::varchar, 2, '0') from range(1, 18) r(i)), g as (select set_id, term_id, bool_or(field_name = 'warnings') as gold from tag_evidence where set_id is not null and field_name in ('warnings', 'boxed_warning') group by all) select s.set_id, t.term, coalesce(gold, false) as gold, g.gold is not null as filled from s cross join t left join g on g.set_id = s.set_id and g.term_id = t.term")
+def gold_cells(spark, folder):
+    rows = read(spark, folder, "tag_evidence").where("set_id is not null")
+    edits = rows.where("field_name in ('warnings', 'boxed_warning')").groupBy("set_id", F.col("term_id").alias("term")).agg(F.bool_or(F.col("field_name") == "warnings").alias("gold")).withColumn("rationale", F.lit("read"))
+    cells = records.set_gold(records.gold_template(rows, vocabulary.terms(spark)), edits)
+    return cells.select("set_id", "term", "gold", (F.col("rationale") != records.PLACEHOLDER).alias("filled"))

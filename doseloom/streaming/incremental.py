@@ -24,6 +24,11 @@ def windowed_counts(stream: DataFrame, time: str, late: str, width: str, by: str
     return stream.withWatermark(time, late).groupBy(F.window(time, width), by).count().select(F.col("window.start").alias("start"), by, F.col("count").alias("n"))
 
 
+def sessions(stream: DataFrame, time: str, late: str, gap: str, by: list[str]) -> DataFrame:
+    """by, start, end, n of rows that follow each other within a gap; a session is given out when the watermark has passed its end."""
+    return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), *by).count().select(*by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), F.col("count").alias("n"))
+
+
 def process_new(stream: DataFrame, work: Callable[[DataFrame], DataFrame], target: str, key: str, checkpoint: str) -> StreamingQuery:
     """Runs work on every new batch and appends rows whose key is not in the target yet; ends when all that is there is done."""
 
