@@ -13,6 +13,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.lineage import cut_lineage
 from ..functions.text import whole_word
 from .lists import connected, prefix_members
 
@@ -142,15 +143,17 @@ def group_alerts(entries: DataFrame, members: DataFrame, rules: list[GroupRule])
     members: class, member, with references expanded.
     """
     spark = entries.sparkSession
-    of = classified(entries, members)
+    of = cut_lineage(classified(entries, members))  # read three times
     wanted = spark.createDataFrame([(r.rule, c) for r in rules for c in r.classes], "rule string, class string")
     hits = of.join(wanted, "class").select("list_id", "rule", "pos", "base").distinct()
-    keyed = hits.withColumn("key", F.struct("list_id", "rule"))
+    kind = hits.schema["list_id"].dataType
+    keyed = hits.withColumn("key", F.concat_ws("\u0001", "rule", F.col("list_id").cast("string")))
     parts = connected(keyed, "key", "pos", "base").groupBy("key").agg(F.countDistinct("component").alias("medicines"))
+    parts = parts.select(F.substring_index("key", "\u0001", 1).alias("rule"), F.substring_index("key", "\u0001", -1).cast(kind).alias("list_id"), "medicines")
     masks = of.groupBy("list_id", "base").agg(F.array_sort(F.collect_set("class")).alias("classes"))
     own = hits.select("list_id", "rule", "base").distinct().join(masks, ["list_id", "base"])
     counted = own.groupBy("list_id", "rule", "classes").agg(F.count("*").alias("n")).groupBy("list_id", "rule").agg(F.collect_list(F.struct("classes", "n")).alias("masks"))
-    both = counted.join(parts.select("key.list_id", "key.rule", "medicines"), ["list_id", "rule"])
+    both = counted.join(parts, ["list_id", "rule"])
     severity = F.lit(None).cast("int")
     for r in rules:
         severity = F.when(F.col("rule") == r.rule, _group_grade(r, F.col("masks"), F.col("medicines"))).otherwise(severity)
@@ -165,7 +168,7 @@ def pair_alerts(entries: DataFrame, members: DataFrame, rules: list[PairRule], d
     ingredient. daily_mg: list_id, base, mg. Victims meet distinct ingredients of the other side, of which a rule has few.
     """
     spark = entries.sparkSession
-    of = classified(entries, members)
+    of = cut_lineage(classified(entries, members))  # read twice
     whole = entries.where("base is not null").groupBy("list_id", "pos").agg(F.array_sort(F.collect_set(F.lower("base"))).alias("bases"))
     side = lambda which: spark.createDataFrame([(r.rule, c) for r in rules for c in getattr(r, which)], "rule string, class string")
     dose = daily_mg.groupBy("list_id", F.lower("base").alias("base")).agg(F.first("mg").alias("mg"))

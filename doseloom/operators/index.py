@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import snippet, tokens
-from .search import B, K1, query_terms
+from .search import B, K1
 
 #: Folders over which postings are spread by hash of the term, and texts by hash of the document; most hits of a request.
-BUCKETS, MOST_HITS = 32, 50
+BUCKETS, MOST_HITS = 16, 50
 
 
 def _bucket(c: Column | str) -> Column:
@@ -27,8 +27,7 @@ def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     """Writes path/postings (term, doc_id, tf, n_terms, by bucket of the term), path/terms (term, df), path/docs (doc_id, n_terms and the
     lean columns), path/bodies (doc_id, body, by bucket) and path/stats (n_docs, mean_terms).
 
-    Texts are split into words once, for postings; lengths and frequencies come from the written postings. A null or empty
-    text has no words and counts as a document of length 0. Documents with a null id are left out; ids must be unique.
+    Frequencies come from the written postings. A null or empty text has no words and counts as a document of length 0. Documents with a null id are left out; ids must be unique.
     """
     spark = docs.sparkSession
     kept = docs.where(F.col(doc_id).isNotNull())
@@ -37,14 +36,12 @@ def build_index(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str =
     counted.withColumn("bucket", _bucket("term")).repartition(BUCKETS, "bucket").sortWithinPartitions("bucket", "term", "doc_id").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
     posted = _table(spark, path, "postings", docs.schema[doc_id].dataType.simpleString())
     posted.groupBy("bucket", "term").agg(F.count("*").alias("df")).repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-    sizes = posted.groupBy("doc_id").agg(F.max("n_terms").alias("n_terms"))
-    named = kept.select(F.col(doc_id).alias("doc_id"), *(lean or [])).join(sizes, "doc_id", "left").withColumn("n_terms", F.coalesce("n_terms", F.lit(0)))
-    named.write.mode("overwrite").parquet(f"{path}/docs")
+    kept.select(F.col(doc_id).alias("doc_id"), F.size(tokens(F.col(text))).alias("n_terms"), *(lean or [])).write.mode("overwrite").parquet(f"{path}/docs")
     kept.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("body"), _bucket(F.col(doc_id)).alias("bucket")).repartition(BUCKETS, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/bodies")
     spark.read.parquet(f"{path}/docs").agg(F.count("*").alias("n_docs"), F.coalesce(F.avg("n_terms"), F.lit(0.0)).alias("mean_terms")).write.mode("overwrite").parquet(f"{path}/stats")
 
 
-#: Different words of a request that are read as a filter of folders and row groups; more are joined.
+#: Words of all queries that are read as a filter of folders and row groups; more are joined.
 MANY_WORDS = 5_000
 
 
@@ -55,15 +52,20 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10
     the lean columns) filters the hits. A query without words lists the facet's documents in order of doc_id with score 0.
     """
     k = max(1, min(k, MOST_HITS))
-    wanted = query_terms(queries, query_id, query)
-    words = [r.term for r in wanted.select("term").distinct().limit(MANY_WORDS + 1).collect()]
+    words = queries.select(F.col(query_id).alias("query_id"), F.explode_outer(tokens(F.col(query))).alias("term"))
+    asked = words.groupBy("query_id", "term").agg(F.count("*").alias("times")).withColumn("bucket", _bucket("term"))
+    few = asked.limit(MANY_WORDS + 1).collect()
     posted, terms = _table(spark, path, "postings"), _table(spark, path, "terms")
-    if len(words) <= MANY_WORDS:
-        near = spark.range(1).select(F.explode(F.array(*[F.lit(w) for w in words] or [F.lit("")])).alias("t")).select(_bucket("t").alias("b")).distinct()
-        buckets = [r.b for r in near.collect()]
-        posted, terms = (t.where(F.col("bucket").isin(buckets) & F.col("term").isin(words)) for t in (posted, terms))
-    stats = spark.read.parquet(f"{path}/stats")
-    n_docs, mean = stats.select("n_docs").scalar(), stats.select("mean_terms").scalar()
+    if len(few) <= MANY_WORDS:  # one look at the queries tells which folders and rows to read
+        buckets, sought = sorted({r.bucket for r in few if r.term is not None}), sorted({r.term for r in few if r.term is not None})
+        posted, terms = (t.where(F.col("bucket").isin(buckets) & F.col("term").isin(sought) if sought else F.lit(False)) for t in (posted, terms))
+        asked = spark.createDataFrame(few, asked.schema) if few else asked
+        blank = [r.query_id for r in few if r.term is None]
+    else:
+        blank = None
+    wanted = asked.where("term is not null").select("query_id", "term", "times")
+    stats = spark.read.schema("n_docs bigint, mean_terms double").parquet(f"{path}/stats").first()
+    n_docs, mean = F.lit(stats.n_docs), F.lit(stats.mean_terms)
     weighted = wanted.join(terms.select("term", "df"), "term")
     idf = F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / mean)
@@ -72,11 +74,13 @@ def search_index(spark: SparkSession, path: str, queries: DataFrame, k: int = 10
         scored = scored.join(spark.read.parquet(f"{path}/docs").where(facet).select("doc_id"), "doc_id", "left_semi")
     hits = scored.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("times") * idf * F.col("tf") * (K1 + 1) / norm), 6).alias("score")).where("score > 0")
     ranked = hits.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id"))).where(F.col("rank") <= k)
-    blank = queries.select(F.col(query_id).alias("query_id"), F.col(query).alias("q")).join(wanted.select("query_id").distinct(), "query_id", "left_anti").select("query_id").distinct()
+    ranked = ranked.select("query_id", "rank", "doc_id", "score")
+    if blank == []:
+        return ranked
     docs = spark.read.parquet(f"{path}/docs")
     first = (docs if facet is None else docs.where(facet)).select("doc_id").orderBy("doc_id").limit(k).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("doc_id")))
-    listed = blank.join(first).select("query_id", "rank", "doc_id", F.lit(0.0).alias("score"))
-    return ranked.select("query_id", "rank", "doc_id", "score").unionByName(listed)
+    listed = asked.where("term is null").select("query_id").join(first).select("query_id", "rank", "doc_id", F.lit(0.0).alias("score"))
+    return ranked.unionByName(listed)
 
 
 def with_snippets(spark: SparkSession, path: str, hits: DataFrame, queries: DataFrame, query_id: str = "query_id", query: str = "query") -> DataFrame:
