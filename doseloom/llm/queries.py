@@ -13,7 +13,7 @@ from .leaks import find_leaks
 from .mixing import mix
 from .names import map_names
 from .pieces import cut_texts
-from .sentences import split_sentences
+from .sentences import learn_starters, split_sentences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -36,7 +36,8 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     sections = label_values(_read(spark, folder, "raw_label").withColumnRenamed("rec_id", "row_id"), "text_fields", True, ["row_id"], once=False)
     sections = sections.where("field <> 'adverse_reactions_table' and row_pos = 0").select(F.lit("raw_label").alias("tbl"), "row_id", "field", F.col("pos").cast("int"), F.col("value").alias("text"))
     evidence = _read(spark, folder, "tag_evidence").where("field_name not like 'openfda.%'").select(F.lit("tag_evidence").alias("tbl"), F.col("evidence_id").alias("row_id"), F.col("field_name").alias("field"), F.lit(1).alias("pos"), F.col("sentence").alias("text"))
-    parts = [split_sentences(documents), split_sentences(sections, keys=["row_id", "field", "pos"]), split_sentences(evidence, keys=["row_id"])]
+    known = learn_starters(*(t.select("text") for t in (documents, sections, evidence)))
+    parts = [split_sentences(documents, starters=known), split_sentences(sections, keys=["row_id", "field", "pos"], starters=known), split_sentences(evidence, keys=["row_id"], starters=known)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).select(*out)
 
 

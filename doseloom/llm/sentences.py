@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrow import columns, no_clash, quoted, spec
+from ..functions.lineage import cut_lineage
 from .codepoints import DIGIT, EDGE, LOWER, MARK, OTHER, SPACE, UNCASED, UPPER, Block, blocks, class_table, lower_table
 from .transducer import Transducer
 
@@ -115,8 +116,30 @@ def _is(chars: str) -> np.ndarray:
     return table
 
 
-def bounds(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, start and end (in the block) of every sentence unit of a block, in order."""
+def lower_words(cp: np.ndarray, kind: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of every word that begins with a small letter."""
+    letter = (kind == UPPER) | (kind == LOWER) | (kind == UNCASED) | (kind == MARK)
+    begins = letter.copy()
+    begins[1:] &= ~letter[:-1]
+    heads = starts[:-1][np.diff(starts) > 0]
+    begins[heads] = letter[heads]
+    at = np.flatnonzero(begins)
+    if not len(at):
+        return at, np.zeros(0, np.uint64)
+    inside = np.flatnonzero(letter)
+    first = np.searchsorted(inside, at)
+    place = np.arange(len(inside)) - np.repeat(first, np.diff(first, append=len(inside)))
+    powers = np.cumprod(np.full(int(place.max()) + 1, 0x9E3779B97F4A7C15, np.uint64))
+    hashed = np.add.reduceat((cp[inside].astype(np.uint64) + np.uint64(7)) * powers[place], first)
+    hashed ^= hashed >> np.uint64(29)
+    hashed *= np.uint64(0xBF58476D1CE4E5B9)
+    low = kind[at] == LOWER
+    return at[low], (hashed ^ (hashed >> np.uint64(32)))[low]
+
+
+def bounds(block: Block, starters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, start and end (in the block) of every sentence unit of a block, in order. starters: sorted hashes of words that
+    begin a sentence although they are written small (see learn_starters)."""
     cp, starts = block.clipped(), block.starts
     n = len(cp)
     if not n:
@@ -135,6 +158,10 @@ def bounds(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     def kind_at(i: np.ndarray, row_stop: np.ndarray) -> np.ndarray:
         return np.where(i < row_stop, kind[np.minimum(i, n - 1)], EDGE)
 
+    known = np.zeros(n + 1, bool)  # where such a word begins
+    if starters is not None and len(starters):
+        at_word, hashed = lower_words(block.cp, kind, starts)
+        known[at_word[_among(hashed, starters)]] = True
     symbol = np.zeros(n, np.uint8)
     # ends of sentences, at the last mark of a run
     term = (mark >= 1) & (mark <= 5)
@@ -142,7 +169,7 @@ def bounds(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     last[:-1] &= ~(term[1:] & ~row_end[1:-1])
     p = np.flatnonzero(last)
     if len(p):
-        symbol[p[_ends(p, cp, kind, mark, term, ahead, starts, row_end)]] = TERM
+        symbol[p[_ends(p, cp, kind, mark, term, ahead, starts, row_end, known)]] = TERM
     # quotes and brackets
     q = np.flatnonzero(mark >= 6)
     if len(q):
@@ -158,7 +185,7 @@ def bounds(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         c = cp[np.minimum(nxt, n - 1)]
         opens = _is(OPENERS)[c] & (k == OTHER)
         wide = _is("」』”）】")[cp[q]] & (cp[np.maximum(two, 0)] >= 0x3000)
-        fresh = np.where(spaced, (k == UPPER) | (k == DIGIT) | opens | ((k == UNCASED) & ~wide), ((k == UPPER) | (opens & (mark[np.minimum(nxt, n - 1)] != 6))) & ~wide)
+        fresh = np.where(spaced, (k == UPPER) | (k == DIGIT) | opens | ((k == UNCASED) & ~wide) | (known[np.minimum(nxt, n)] & (nxt < stop)), ((k == UPPER) | (opens & (mark[np.minimum(nxt, n - 1)] != 6))) & ~wide)
         symbol[q] = base + (after_term & fresh & np.isin(base, (QUOTE, CURLY, CURLY_CLOSE, ANGLE_CLOSE, CORNER_CLOSE, PAREN_CLOSE)))
     # white space: blank lines, list items, gaps between Thai letters
     begins = space.copy()
@@ -216,7 +243,7 @@ def _item(b: np.ndarray, stop: np.ndarray, cp: np.ndarray, space: np.ndarray, ah
     return is_item, np.minimum(ahead[np.minimum(b + 1, n)], stop)
 
 
-def _ends(p, cp, kind, mark, term, ahead, starts, row_end) -> np.ndarray:
+def _ends(p, cp, kind, mark, term, ahead, starts, row_end, known) -> np.ndarray:
     """Which of the marks at p may end a sentence, seen from what stands around them."""
     n = len(cp)
     row = np.searchsorted(starts, p, "right")
@@ -279,7 +306,7 @@ def _ends(p, cp, kind, mark, term, ahead, starts, row_end) -> np.ndarray:
         dot_direct[single] &= cp[after] != 46
     hard_direct = (k == UPPER) | (k == DIGIT) | (k == UNCASED) | opens | run
     closing = (k == OTHER) & ~opens
-    dot_spaced = np.where(may, (k == UPPER) | (k == DIGIT) | opens, ~(closing & ~_is("№#*")[np.minimum(c, 0x31FFF)] & (c != ord("<")))) & ~is_ordinal
+    dot_spaced = np.where(may, (k == UPPER) | (k == DIGIT) | opens | (known[np.minimum(nxt, n)] & inside), ~(closing & ~_is("№#*")[np.minimum(c, 0x31FFF)] & (c != ord("<")))) & ~is_ordinal
     dot = np.where(spaced, dot_spaced, dot_direct) & ~is_never & ~capital
     dot = np.where(ellipsis, np.where(spaced, fresh, (k == UPPER) | opens), dot)
     hard = np.where(spaced, ~closing | _is("№#")[np.minimum(c, 0x31FFF)], hard_direct)
@@ -294,11 +321,54 @@ def letters_or_dots(kinds: np.ndarray, chars: np.ndarray, part: np.ndarray) -> n
     return (~part | (dots == turns)).all(1)
 
 
-def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def counted_starts(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash of every word of a column that begins with a small letter, how often it begins a sentence after an end that leaves no
+    doubt (a mark of its own, then a space), and how often it occurs."""
+    words, begins = [], []
+    for block in blocks(column):
+        cp, kind = block.clipped(), class_table()[block.clipped()]
+        at, hashed = lower_words(block.cp, kind, block.starts)
+        if not len(at):
+            continue
+        row, start, end = bounds(block)
+        same = row[1:] == row[:-1]
+        sure = np.isin(_marks()[cp[np.maximum(end[:-1] - 1, 0)]], (1, 3)) & (cp[np.maximum(start[1:] - 1, 0)] == 32) & same
+        words.append(hashed)
+        begins.append(np.isin(at, start[1:][sure]))
+    if not words:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    unique, back = np.unique(np.concatenate(words), return_inverse=True)
+    return unique, np.bincount(back, np.concatenate(begins), len(unique)).astype(np.int64), np.bincount(back, minlength=len(unique))
+
+
+def learn_starters(*texts: DataFrame, least: int = 3, share: float = 0.001, rarest: float = 1e-7) -> np.ndarray:
+    """Sorted hashes of the words that begin sentences although they are written small (names of substances), counted over all
+    rows of one-column tables of texts.
+
+    A word is one if at least `least` sentences and `share` of its occurrences begin with it, after ends that leave no doubt,
+    and these make at least `rarest` of all words; so there are at most 1 / rarest of them, 8 bytes each.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, starts, every = counted_starts(batch.column(0))
+            yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(starts), pa.array(every.astype(np.int64))], ["word", "starts", "every"])
+
+    parts = [t.select(F.col(quoted(t.columns[0])).cast("string").alias("t")).mapInArrow(count, "word bigint, starts bigint, every bigint") for t in texts]
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    counts = cut_lineage(both.groupBy("word").agg(F.sum("starts").alias("starts"), F.sum("every").alias("every")))
+    total = counts.agg(F.sum("every")).first()[0] or 0
+    found = counts.where((F.col("starts") >= max(least, rarest * total)) & (F.col("starts") >= share * F.col("every"))).select("word").toArrow().column(0).to_numpy()
+    return np.sort(found.view(np.uint64))
+
+
+def spans(column: pa.Array, starters: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of each sentence of a column: its row, number within the row from 1, start and end character."""
     parts = []
     for block in blocks(column):
-        row, start, end = bounds(block)
+        row, start, end = bounds(block, starters)
         if len(row):
             new = np.concatenate(([True], row[1:] != row[:-1]))
             number = np.arange(len(row)) - np.maximum.accumulate(np.where(new, np.arange(len(row)), 0)) + 1
@@ -309,15 +379,16 @@ def spans(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*parts))
 
 
-def sentence_arrays(df: DataFrame, text: str = "text") -> DataFrame:
+def sentence_arrays(df: DataFrame, text: str = "text", starters: np.ndarray | None = None) -> DataFrame:
     """df with the text replaced by the starts and ends of its sentences (two arrays of int), one row per row."""
     no_clash(df, ["starts", "ends"])
     others = [c for c in df.columns if c != text]
     kept = df.select(*columns(others))
+    sent = df.sparkSession.sparkContext.broadcast(starters) if starters is not None else None
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            row, _, start, end = spans(batch.column(len(others)))
+            row, _, start, end = spans(batch.column(len(others)), sent.value if sent is not None else None)
             offsets = pa.array(np.searchsorted(row, np.arange(batch.num_rows + 1)), pa.int32())
             arrays = [pa.ListArray.from_arrays(offsets, pa.array(x.astype(np.int32))) for x in (start, end)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], [*others, "starts", "ends"])
@@ -325,19 +396,20 @@ def sentence_arrays(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(*columns(others), F.col(quoted(text)).cast("string")).mapInArrow(split, spec(kept, "starts array<int>, ends array<int>"))
 
 
-def split_sentences(df: DataFrame, text: str = "text", keys: list[str] | None = None, prefix: str = "") -> DataFrame:
+def split_sentences(df: DataFrame, text: str = "text", keys: list[str] | None = None, prefix: str = "", starters: np.ndarray | None = None) -> DataFrame:
     """One row per sentence: the other columns of df, then sent_no (from 1), start_char and end_char (code points, end exclusive).
 
     White space and list markers around a unit are left out. Headings, list items and blank lines end
     a unit; quotations and bracketed remarks stay in theirs. Null, empty and blank texts give no rows.
     Texts of any length are taken whole. With keys, rows that agree in them are one record, told apart by
     the places of their sentences only, so that no text is moved; without, repeated rows are split each. If
-    df already has one of the three new columns, give a prefix for the new ones, else a ValueError is raised.
+    df already has one of the three new columns, give a prefix for the new ones, else a ValueError is raised. With starters
+    (learn_starters) a word written small that begins sentences elsewhere does so after a closing quote or an abbreviation too.
     """
     names = [prefix + x for x in ("sent_no", "start_char", "end_char")]
     no_clash(df, names)
     others = [c for c in df.columns if c != text]
-    found = sentence_arrays(df, text)
+    found = sentence_arrays(df, text, starters)
     if keys:
         found = found.dropDuplicates(keys)
     rows = found.select(*columns(others), F.posexplode(F.arrays_zip("starts", "ends")).alias("_no", "_at"))

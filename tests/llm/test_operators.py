@@ -9,7 +9,7 @@ from doseloom.llm.leaks import find_leaks, remove_leaks, unsearchable
 from doseloom.llm.mixing import mix
 from doseloom.llm.names import THRESHOLD, Index, Words, accepted, edits, grams, letter_counts, map_names, sound
 from doseloom.llm.pieces import cut_texts
-from doseloom.llm.sentences import split_sentences
+from doseloom.llm.sentences import learn_starters, split_sentences
 from doseloom.llm.survivors import Field, align, consensus, profile, survivors
 from doseloom.llm.tokens import count_tokens, encoding
 
@@ -105,6 +105,21 @@ def test_split_sentences(spark):
     assert "s_sent_no" in split_sentences(df.withColumnRenamed("id", "sent_no"), prefix="s_").columns
 
 
+def test_words_written_small_that_begin_sentences(spark):
+    """Learned after ends that leave no doubt, they begin sentences after a closing quote or an abbreviation too; other words don't."""
+    plain = [f"It fell by {i}. codatolane was new. Then it rose and codatolane stayed. The end and so on." for i in range(5)]
+    odd = ['He asked: "Is it safe with it?" codatolane was stable.', '"Stop it. Call us." and most did so.', "It fell over 3 h. codatolane was new.", "It fell for 3 h. and rose."]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*plain, *odd, None, ""])], "id int, text string")
+    known = learn_starters(df.select("text"))
+    assert len(known) == 1
+    count = lambda x: {r.id: r["count"] for r in x.groupBy("id").count().collect()}
+    old, new = count(split_sentences(df)), count(split_sentences(df, starters=known))
+    assert [(old[i], new[i]) for i in range(5, 9)] == [(1, 2), (1, 1), (1, 2), (1, 1)] and all(old[i] == new[i] == 4 for i in range(5))
+    assert len(learn_starters(df.select("text").limit(0))) == 0 and split_sentences(df.limit(0), starters=known).count() == 0
+    # counts of any split of the rows are the same
+    assert list(learn_starters(df.where("id % 2 = 0").select("text"), df.where("id % 2 = 1").select(F.col("text").alias("t")))) == list(known)
+
+
 # names
 
 
