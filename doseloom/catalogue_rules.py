@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .catalogue import _BM25, _EVIDENCE, _FIXED_SQL, _NEGATED, _PLAIN, _POSTED, SQL, _asked, _counts, _judged, query, read
 from .functions import text as T
 from .functions.lineage import checkpoint_folder
-from .operators import amounts, checks, evaluation, index, orders, records, rollup, tagging, vocabulary
+from .operators import amounts, checks, collect, evaluation, index, orders, records, reports, rollup, tagging, vocabulary
+from .queries import SQL as GENERAL_SQL
+from .queries import label_values
 from .sources import files, sinks
 from .streaming import incremental
 
@@ -507,3 +509,30 @@ def gold_cells(spark, folder):
     edits = rows.where("field_name in ('warnings', 'boxed_warning')").groupBy("set_id", F.col("term_id").alias("term")).agg(F.bool_or(F.col("field_name") == "warnings").alias("gold")).withColumn("rationale", F.lit("read"))
     cells = records.set_gold(records.gold_template(rows, vocabulary.terms(spark)), edits)
     return cells.select("set_id", "term", "gold", (F.col("rationale") != records.PLACEHOLDER).alias("filled"))
+
+
+# scope of raw labels, reports
+
+
+_TEXTS = GENERAL_SQL["p6_found"].split("inner_items as")[0].rstrip().rstrip(",")
+
+
+@query(f"""
+{_TEXTS}, f as (select distinct rec_id, field, value from texts where block = 'openfda' and trim(coalesce(value, '')) <> ''),
+r as (select distinct rec_id from raw_label),
+x as (select rec_id, (select count(*) from f where f.rec_id = r.rec_id and field = 'product_type' and value = 'HUMAN PRESCRIPTION DRUG') as scope, (select count(*) from f where f.rec_id = r.rec_id) as blocks, (select count(*) from f where f.rec_id = r.rec_id and field = 'substance_name') as sub from r),
+o as (select case when scope = 0 then 1 when blocks = 0 then 2 when sub = 0 then 3 else 4 end as ord, count(*) as n from x group by 1),
+s(stage, ord) as (values ('prescription', 1), ('openfda', 2), ('ingredients', 3), ('kept', 4))
+select stage, s.ord, case when s.ord = 4 then 0 else coalesce(o.n, 0) end::bigint as failed, case when s.ord = 4 then coalesce(o.n, 0) else (select coalesce(sum(m.n), 0) from o m where m.ord > s.ord) end::bigint as remaining from s left join o using (ord)""")
+def label_scope(spark, folder):
+    raw = read(spark, folder, "raw_label")
+    values = label_values(raw, "openfda", True, ["rec_id"])
+    has = values.groupBy("rec_id").agg(F.bool_or((F.col("field") == "product_type") & (F.col("value") == "HUMAN PRESCRIPTION DRUG")).alias("scope"), F.lit(True).alias("some"), F.bool_or(F.col("field") == "substance_name").alias("sub"))
+    met = raw.select("rec_id").distinct().join(has, "rec_id", "left")
+    return collect.stage_counts(met, [("prescription", F.col("scope")), ("openfda", F.col("some")), ("ingredients", F.col("sub"))])
+
+
+@query("with m as (select distinct list_id, med_id, as_entered from medication_row), p as (select list_id, 'medication' as part, row_number() over (partition by list_id order by med_id, as_entered) as place, as_entered as text from m) select list_id, part, place::int as place, text from p union all select distinct list_id, 'notice', 1, 'Ask a pharmacist.' from m")
+def list_reports(spark, folder):
+    rows = read(spark, folder, "medication_row").select("list_id", F.col("med_id").alias("ord"), F.col("as_entered").alias("text")).distinct()
+    return reports.report_rows({"medication": rows}, "list_id", "Ask a pharmacist.")
