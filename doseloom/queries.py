@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions import units
 from .functions.runon import split_run_on
 from .operators.nested import EVERY, nested_tables
 from .operators.packed import unpack_values
@@ -68,8 +67,21 @@ def _values(rows) -> str:
     return ", ".join("(" + ", ".join(f"'{x}'" if isinstance(x, str) else repr(x) for x in r) + ")" for r in rows)
 
 
+#: The units, multipliers and periods as the SQL has them, written down for themselves so that they can disagree with functions/units.
+_SQL_UNITS = [
+    *((u, "mg", 1.0) for u in "mg mgs milligram milligrams".split()),
+    *((u, "mg", 0.001) for u in "mcg mcgs ug \u00b5g \u03bcg microgram micrograms".split()),
+    *((u, "mg", 0.000001) for u in "ng nanogram nanograms".split()),
+    *((u, "mg", 1000.0) for u in "g gm gms gram grams".split()),
+    *((u, "mg", 1000000.0) for u in "kg kilogram kilograms".split()),
+    *((u, "units", 1.0) for u in "u unit units iu ius ie".split()),
+    *((u, "mEq", 1.0) for u in "meq meqs milliequivalent milliequivalents".split()),
+    ("eq", "mEq", 1000.0),
+]
+_SQL_SCALES = [("k", 1000.0), ("thousand", 1000.0), ("x1000", 1000.0), ("thou", 1000.0), ("m", 1000000.0), ("million", 1000000.0), ("mio", 1000000.0), ("mill", 1000000.0)]
+_SQL_PERIODS = [*((p, 1.0) for p in "d day days daily 24h".split()), *((p, 1 / 7) for p in "wk week weeks weekly".split()), *((p, 1 / 14) for p in "fortnight fortnightly biweekly".split()), *((p, 24.0) for p in "h hr hour hourly rate".split()), ("min", 1440.0), ("minute", 1440.0)]
 _NUMBER = r"([0-9]{1,3}(?:,[0-9]{3})+(?:\.[0-9]+)?|[0-9]*[.,][0-9]+|[0-9]+)"
-_UNIT = r"(x ?1,?000|thousand|thou|million|mio\.?|mill|k|m)??\s*(?:int\.?\s*|international\s+|usp\s+)?(" + "|".join(sorted(units.UNITS, key=lambda u: (-len(u), u))) + ")"
+_UNIT = r"(x ?1,?000|thousand|thou|million|mio\.?|mill|k|m)??\s*(?:int\.?\s*|international\s+|usp\s+)?(" + "|".join(sorted((u[0] for u in _SQL_UNITS), key=lambda u: (-len(u), u))) + ")"
 
 
 def _rate(text: str) -> str:
@@ -112,9 +124,9 @@ select rec_id, block, field, pos::int as pos, row_pos, cell_pos from texts where
 union all select rec_id, block, field, pos::int, row_pos::int, 0 from inner_items where field = 'components' and json_type(e) <> 'NULL'
 union all select rec_id, block, field, pos::int, row_pos::int, cell_pos::int from cells where json_type(e) <> 'NULL'""",
     "p5_found": rf"""
-with units(name, dim, size) as (values {_values((k, *v) for k, v in units.UNITS.items())}),
-scales(name, times) as (values {_values(units.SCALES.items())}, ('', 1.0)),
-periods(name, rate) as (values {_values(units.PERIODS.items())}),
+with units(name, dim, size) as (values {_values(_SQL_UNITS)}),
+scales(name, times) as (values {_values(_SQL_SCALES)}, ('', 1.0)),
+periods(name, rate) as (values {_values(_SQL_PERIODS)}),
 texts as (select distinct daily_total_unit as t, 'unit' as kind from medication_row union select distinct unit, 'unit' from entry_amount union select distinct as_entered, 'entered' from medication_row),
 parts as (select t, kind, case kind
     when 'unit' then regexp_extract(lower(t), '^\s*{_NUMBER}?\s*{_UNIT}\.?\s*(?:(?:/\s*|per\s+)([a-z0-9 ]+?)\.?)?\s*$', ['number', 'scale', 'unit', 'period'])
