@@ -10,6 +10,7 @@ holds such a group; both ways give the same rows.
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -28,11 +29,13 @@ PROFILE = 16
 LARGE = 2_000
 #: Parts into which a large group's values are dealt where they meet its profile.
 SALTS = 64
-#: Cells of an alignment, beyond which the middle of two values is taken column by column.
-CELLS = 4_000_000
+#: Rows of an alignment held at once, at least; of longer ones the root of their number. The result doesn't depend on it.
+BLOCK = 256
 #: Digits after the point of a sum of weights: sums that differ only by the order of adding are equal.
 DIGITS = 9
 
+#: From here on a double has no digits to round.
+_WHOLE = 2.0**52
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 
 
@@ -59,51 +62,79 @@ def tokens(text: str) -> list[str]:
 
 def align(guide: list[str], other: list[str]) -> list[tuple[int, int, str]]:
     """Columns of other's tokens: (place in the guide, 0) for those that stand for a guide token, (place before them,
-    1, 2, ...) for those inserted. Least edits; a change is preferred to an insert and a delete. What both begin and
-    end with is not compared cell by cell. Where the rest makes more than CELLS cells it is paired in order."""
+    1, 2, ...) for those inserted. Least edits at any length; a change is preferred to an insert and a delete. What both
+    begin and end with is not compared."""
     a, b = [x.lower() for x in guide], [x.lower() for x in other]
     if a == b:
         return [(i, 0, t) for i, t in enumerate(other, 1)]
-    head, most = 0, min(len(a), len(b))
+    head, tail = _shared(a, b)
+    out = [(i, 0, t) for i, t in enumerate(other[:head], 1)]
+    moves = _middle(a[head : len(a) - tail], b[head : len(b) - tail])
+    out += [(head + at, sub, other[head + j]) for j, (at, sub) in enumerate(moves)]
+    return out + [(len(a) - tail + i, 0, other[len(b) - tail + i - 1]) for i in range(1, tail + 1)]
+
+
+def _shared(a: list[str], b: list[str]) -> tuple[int, int]:
+    """Tokens that both begin with, and tokens that what is left ends with."""
+    head, tail, most = 0, 0, min(len(a), len(b))
     while head < most and a[head] == b[head]:
         head += 1
-    tail = 0
     while tail < most - head and a[-1 - tail] == b[-1 - tail]:
         tail += 1
-    out = [(i, 0, t) for i, t in enumerate(other[:head], 1)]
-    x, y = a[head : len(a) - tail], b[head : len(b) - tail]
-    n, m = len(x), len(y)
-    if n * m > CELLS or not n or not m:
-        moves = [(min(j + 1, n), 0 if j < n else j - n + 1) for j in range(m)]
-    else:
-        moves = _middle(x, y)
-    out += [(head + at, sub, other[head + j]) for j, (at, sub) in enumerate(moves)]
-    return out + [(len(a) - tail + i, 0, other[len(b) - tail + i - 1]) for i in range(1, tail + 1)]
+    return head, tail
+
+
+class _Edits:
+    """Table of edits between x (rows) and y (columns), a row at a time; a row is kept as bits (Myers, Hyyrö)."""
+
+    def __init__(self, y: list[str]):
+        self.full = (1 << len(y)) - 1
+        self.places: dict[str, int] = defaultdict(int)
+        for j, t in enumerate(y):
+            self.places[t] |= 1 << j
+        #: Columns that take one edit more, and one less, than the column before.
+        self.row = (self.full, 0)
+
+    def step(self, token: str) -> tuple[int, int]:
+        """Next row. Columns that take as many edits as the row and column before, and those that take one more than the row before."""
+        (more, less), full, met = self.row, self.full, self.places.get(token, 0)
+        slant = ((((met & more) + more) ^ more) | met | less) & full
+        down = less | (full ^ (slant | more))
+        shifted = ((down << 1) | 1) & full
+        self.row = (((slant & more) << 1) & full) | (full ^ (slant | shifted)), shifted & slant
+        return slant, down
 
 
 def _middle(x: list[str], y: list[str]) -> list[tuple[int, int]]:
-    n, m = len(x), len(y)
-    rows = [list(range(m + 1))]
-    for i in range(1, n + 1):
-        before, now, c = rows[-1], [i], x[i - 1]
-        for j in range(1, m + 1):
-            best = before[j - 1] + (c != y[j - 1])
-            if before[j] < best - 1:
-                best = before[j] + 1
-            if now[j - 1] < best - 1:
-                best = now[j - 1] + 1
-            now.append(best)
-        rows.append(now)
-    out, i, j = [], n, m
-    while j:
-        if i and rows[i][j] == rows[i - 1][j - 1] + (x[i - 1] != y[j - 1]):
-            out.append((i, True))
-            i, j = i - 1, j - 1
-        elif i and rows[i][j] == rows[i - 1][j] + 1:
-            i -= 1
-        else:
-            out.append((i, False))
-            j -= 1
+    if not y:
+        return []
+    n, j = len(x), len(y)
+    edits, block = _Edits(y), max(BLOCK, math.isqrt(n))
+    starts = []
+    for i, c in enumerate(x):
+        if i % block == 0:
+            starts.append(edits.row)
+            if i + block >= n:
+                break
+        edits.step(c)
+    out: list[tuple[int, bool]] = []
+    for low in range(block * (len(starts) - 1), -1, -block):  # from the last block of rows on, each made again from its start
+        if not j:
+            break
+        edits.row = starts.pop()
+        rows = [edits.step(c) for c in x[low : low + block]]
+        i = len(rows)
+        while i and j:
+            slant, down = rows[i - 1]
+            if x[low + i - 1] == y[j - 1] or not slant >> (j - 1) & 1:
+                out.append((low + i, True))
+                i, j = i - 1, j - 1
+            elif down >> (j - 1) & 1:
+                i -= 1
+            else:
+                out.append((low + i, False))
+                j -= 1
+    out += [(0, False)] * j
     placed, last, run = [], None, 0
     for at, matched in reversed(out):
         run = 0 if matched else run + 1 if at == last else 1
@@ -114,27 +145,33 @@ def _middle(x: list[str], y: list[str]) -> list[tuple[int, int]]:
 
 def far(a: list[str], b: list[str]) -> int:
     """Tokens to change, add or take away between two values."""
-    a, b = [x.lower() for x in a], [x.lower() for x in b]
-    if a == b:
-        return 0
-    if len(a) * len(b) > CELLS:
-        return sum(x != y for x, y in zip(a, b)) + abs(len(a) - len(b))
-    before = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        now = [i]
-        for j, y in enumerate(b, 1):
-            now.append(min(before[j - 1] + (x != y), before[j] + 1, now[j - 1] + 1))
-        before = now
-    return before[-1]
+    a, b = sorted(([x.lower() for x in a], [x.lower() for x in b]), key=len)
+    head, tail = _shared(a, b)
+    edits = _Edits(b[head : len(b) - tail])
+    for c in a[head : len(a) - tail]:
+        edits.step(c)
+    more, less = edits.row
+    return len(a) - head - tail + more.bit_count() - less.bit_count()
 
 
 def _order(rank) -> tuple:
-    """Nulls rank lowest."""
-    return (rank is not None, rank)
+    """Nulls rank lowest, NaN highest, as in Spark."""
+    return (0, 0) if rank is None else (2, 0) if rank != rank else (1, rank)
+
+
+def _rounded(weight: float) -> float:
+    """The weight to DIGITS, by the same operations as _rounded_column."""
+    scaled = weight * 10.0**DIGITS
+    return round(scaled) / 10.0**DIGITS if abs(scaled) < _WHOLE else weight
+
+
+def _rounded_column(weight: Column) -> Column:
+    scaled = weight * 10.0**DIGITS
+    return F.when(F.abs(scaled) < _WHOLE, F.rint(scaled) / 10.0**DIGITS).otherwise(weight)
 
 
 def strength(vote: str, weight: float, rank, value: str) -> tuple:
-    return (round(weight, DIGITS), _order(rank), value) if vote == "sum" else (_order(rank), value)
+    return (_rounded(weight), _order(rank), value) if vote == "sum" else (_order(rank), value)
 
 
 def profile(strongest: list[tuple[float, object, str]], vote: str) -> list[str]:
@@ -170,7 +207,7 @@ def winners(votes: dict[tuple[int, int], dict[str, list]], total: float, ranked:
         if vote == "sum":
             token, (weight, _) = max(column.items(), key=lambda c: strength(vote, c[1][0], c[1][1], c[0]))
             filled = sum(w for w, _ in column.values())
-            if round(weight, DIGITS) >= round(total - filled, DIGITS):
+            if _rounded(weight) >= _rounded(total - filled):
                 out.append(token)
         else:
             token, (_, rank) = max(column.items(), key=lambda c: strength(vote, c[1][0], c[1][1], c[0]))
@@ -201,7 +238,7 @@ def survivors(df: DataFrame, key: str, fields: dict[str, Field], record: str | N
 
     Of values equally close to the consensus the one with the greatest rank survives, then the greatest value. Null keys
     are left out, null values don't vote. With record, rows that agree in it and in the key are one record (the greatest
-    by rank and values stands for it) and those with a null record are left out; without, every row is a record. Groups of
+    by rank and values, then weights, stands for it) and those with a null record are left out; without, every row is a record. Groups of
     fewer than `least` records are left out. Groups of any size are handled; no task holds a group of more than LARGE rows.
     """
     rows = df.where(F.col(quoted(key)).isNotNull())
@@ -226,10 +263,10 @@ def _columns(fields: dict[str, Field]) -> list[Column]:
 
 
 def _once(rows: list[tuple], n_fields: int) -> list[tuple]:
-    """Each record once: the row with the greatest ranks and values."""
+    """Each record once: the row with the greatest ranks and values, then weights."""
 
     def order(row: tuple) -> tuple:
-        return tuple(_order(row[2 + 3 * i + j]) for i in range(n_fields) for j in (1, 0))
+        return tuple(_order(row[2 + 3 * i + j]) for js in ((1, 0), (2,)) for i in range(n_fields) for j in js)
 
     best: dict[str, tuple] = {}
     for row in rows:
@@ -266,7 +303,7 @@ def _whole(rows: DataFrame, fields: dict[str, Field], recorded: bool, key: str,
                     seen[0] += weight
                     seen[1] = max(seen[1], rank, key=_order)
                 for seen in values.values():
-                    seen[0] = round(seen[0], DIGITS)
+                    seen[0] = _rounded(seen[0])
                 found.append(consensus(values, vote))
             out.append((group, len(held), *found))
             if len(out) == 5_000:
@@ -281,7 +318,7 @@ def _whole(rows: DataFrame, fields: dict[str, Field], recorded: bool, key: str,
 def _spread(rows: DataFrame, fields: dict[str, Field], recorded: bool, key: str, least: int) -> DataFrame:
     """Groups of many records: the same by aggregates over (key, value), (key, column, token) and their salts."""
     if recorded:
-        order = F.struct(*[F.col(f"{x}{i}") for i in range(len(fields)) for x in "rv"])
+        order = F.struct(*[F.col(f"{x}{i}") for xs in ("rv", "w") for i in range(len(fields)) for x in xs])
         rows = rows.groupBy("key", "record").agg(F.max_by(F.struct(*[F.col(f"{x}{i}") for i in range(len(fields)) for x in "vrw"]), order).alias("b")).select("key", "record", "b.*")
     rows = cut_lineage(rows)
     out = rows.groupBy("key").agg(F.count("*").alias("n_records")).where(F.col("n_records") >= least)
@@ -293,7 +330,7 @@ def _spread(rows: DataFrame, fields: dict[str, Field], recorded: bool, key: str,
 def _field(rows: DataFrame, vote: str, name: str) -> DataFrame:
     """Key and surviving value of one field of large groups."""
     salt = F.pmod(F.xxhash64("value"), F.lit(SALTS))
-    votes = rows.where("value is not null").groupBy("key", "value").agg(F.round(F.sum("weight"), DIGITS).alias("weight"), F.max("rank").alias("rank")).withColumn("salt", salt)
+    votes = rows.where("value is not null").groupBy("key", "value").agg(_rounded_column(F.sum("weight")).alias("weight"), F.max("rank").alias("rank")).withColumn("salt", salt)
     votes = cut_lineage(votes)  # distinct values with their weights, read several times
     order = [F.desc("weight"), F.desc_nulls_last("rank"), F.desc("value")] if vote == "sum" else [F.desc_nulls_last("rank"), F.desc("value")]
     # the strongest of every part, then of those: no task sorts a whole group
@@ -326,7 +363,7 @@ def _field(rows: DataFrame, vote: str, name: str) -> DataFrame:
     counted = placed.groupBy("key", "at", "sub", "token").agg(F.sum("weight").alias("weight"), F.max("rank").alias("rank"))
     total = votes.groupBy("key").agg(F.sum("weight").alias("total"), F.max("rank").alias("top"))
     if vote == "sum":
-        won = counted.groupBy("key", "at", "sub").agg(F.max(F.struct(F.round("weight", DIGITS).alias("weight"), "rank", "token")).alias("w"), F.sum("weight").alias("filled")).join(total, "key").where(F.col("w.weight") >= F.round(F.col("total") - F.col("filled"), DIGITS))
+        won = counted.groupBy("key", "at", "sub").agg(F.max(F.struct(_rounded_column(F.col("weight")).alias("weight"), "rank", "token")).alias("w"), F.sum("weight").alias("filled")).join(total, "key").where(F.col("w.weight") >= _rounded_column(F.col("total") - F.col("filled")))
     else:
         won = counted.groupBy("key", "at", "sub").agg(F.max(F.struct("rank", "token")).alias("w")).join(total, "key").where(F.col("w.rank").eqNullSafe(F.col("top")))
     ideal = won.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "sub", F.col("w.token").alias("token")))), lambda x: x["token"]).alias("ideal")).select("key", "ideal", salts.alias("salt"))

@@ -10,7 +10,7 @@ from doseloom.llm.mixing import mix
 from doseloom.llm.names import THRESHOLD, Index, Words, accepted, edits, grams, letter_counts, map_names, sound
 from doseloom.llm.pieces import cut_texts
 from doseloom.llm.sentences import learn_starters, split_sentences
-from doseloom.llm.survivors import Field, align, consensus, profile, survivors
+from doseloom.llm.survivors import Field, align, consensus, far, profile, survivors
 from doseloom.llm.tokens import count_tokens, encoding
 
 DOC = "doc_id long, text string, source string"
@@ -24,6 +24,63 @@ def test_align_keeps_columns():
     assert align(["a", "b"], []) == [] and align([], ["a"]) == [(0, 1, "a")]
 
 
+def test_align_takes_least_edits_at_any_length():
+    """Long values that differ at both ends: 2,200 common tokens, one place further."""
+    guide = [f"t{i}" for i in range(2_201)]
+    other = [*guide[1:], "end"]
+    assert align(guide, other) == [*((i, 0, t) for i, t in enumerate(guide[1:], 2)), (2_201, 1, "end")] and far(guide, other) == 2
+    values = {" ".join(guide): [1.5, 3], " ".join(other): [1.0, 1], " ".join(["s", *guide[2:], "end"]): [1.0, 2]}
+    assert consensus(values, "sum") == " ".join(other)
+
+
+def test_align_equals_the_whole_table(monkeypatch):
+    import random
+
+    import doseloom.llm.survivors as module
+
+    def plain(x, y):
+        cost = [[i + j if not i * j else 0 for j in range(len(y) + 1)] for i in range(len(x) + 1)]
+        for i in range(1, len(x) + 1):
+            for j in range(1, len(y) + 1):
+                cost[i][j] = min(cost[i - 1][j - 1] + (x[i - 1] != y[j - 1]), cost[i - 1][j] + 1, cost[i][j - 1] + 1)
+        i, j, out = len(x), len(y), []
+        while j:
+            if i and cost[i][j] == cost[i - 1][j - 1] + (x[i - 1] != y[j - 1]):
+                out.append((i, True))
+                i, j = i - 1, j - 1
+            elif i and cost[i][j] == cost[i - 1][j] + 1:
+                i -= 1
+            else:
+                out.append((i, False))
+                j -= 1
+        return cost[-1][-1], out[::-1]
+
+    rng = random.Random(2)
+    for block in (256, 1, 3):
+        monkeypatch.setattr(module, "BLOCK", block)
+        for _ in range(1_000):
+            x, y = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 12))) for _ in range(2))
+            x, y = ["s", *x, "u"], ["v", *y, "w"]  # nothing shared at the ends
+            edits, places = plain(x, y)
+            got = align(x, y)
+            assert far(x, y) == edits and [(at, not sub) for at, sub, _ in got] == places and [t for *_, t in got] == y
+
+
+def test_size_of_a_group_changes_nothing(spark, monkeypatch):
+    """Sums of weights that lie halfway between two roundings, ranks that are no number, records repeated with other weights."""
+    import doseloom.llm.survivors as module
+
+    nan = float("nan")
+    rows = [("half", "r1", "alpha", 2.0, 2.0**-10), ("half", "r2", "beta", 3.0, 0.000976562), ("nan", "r1", "alpha", nan, 1.0), ("nan", "r2", "beta", 2.0, 1.0), ("nan", "r3", "beta", None, 1.0)]
+    rows += [("again", "r1", "alpha", 1.0, 0.5), ("again", "r1", "alpha", 1.0, 3.0), ("again", "r2", "beta", 2.0, 2.0)]
+    df = spark.createDataFrame(rows, "g string, id string, v string, t double, w double").coalesce(1)
+    fields = {"v": Field(F.col("t"), vote="sum", weight=F.col("w")), "x": Field(F.col("t"), value=F.col("v"))}
+    for large in (2_000, 1):
+        monkeypatch.setattr(module, "LARGE", large)
+        got = {r.g: (r.v, r.x) for r in survivors(df, "g", fields, "id").collect()}
+        assert got == {"half": ("beta", "beta"), "nan": ("beta", "alpha"), "again": ("alpha", "beta")}
+
+
 def test_majority_and_rank(spark):
     rows = [("k", "Acme Forte 5", 1), ("k", "Acme Forte 5 mg", 2), ("k", "Acme Forte 5 mg", 3), ("k", "Acne Forte 5 mg", 9), ("k", None, 10), ("s", None, 1), (None, "x", 1)]
     df = spark.createDataFrame(rows, "g string, v string, t int")
